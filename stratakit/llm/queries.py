@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from stratakit.llm.quality import op4_quality
+from stratakit.llm.simhash import op5_simhash
 
-QUERIES = {"op4_quality": op4_quality}
+QUERIES = {"op4_quality": op4_quality, "op5_simhash": op5_simhash}
 ORACLE_SQL: dict[str, str] = {}
