@@ -43,7 +43,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: computed once, kept if an executor is lost."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -34,7 +34,8 @@ FLOORS = {"word_length": 0.15, "symbols": 0.15, "marks": 0.25, "capitals": 0.15,
 NAMES = list(FLOORS)
 P = len(NAMES)
 LOWER_PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
-ESTIMATE = [f"m{i}" for i in range(P)] + [f"w{i}{j}" for i, j in LOWER_PAIRS]
+#: An estimate: the mean, and the rows of the inverse Cholesky factor one after the other.
+ESTIMATE = ["array({}) AS m".format(", ".join(f"m{i}" for i in range(P))), "array({}) AS w".format(", ".join(f"w{i}{j}" for i, j in LOWER_PAIRS))]
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -129,7 +130,7 @@ def _estimate(moments: DataFrame, keys: list[str]) -> DataFrame:
 
 def squared_distance() -> Column:
     """The squared Mahalanobis distance of a row that holds both its vector and an estimate."""
-    return F.expr(_plus([f"pow({_plus([f'w{i}{j} * ({NAMES[j]} - m{j})' for j in range(i + 1)])}, 2)" for i in range(P)]))
+    return F.expr(_plus([f"pow({_plus([f'w[{LOWER_PAIRS.index((i, j))}] * ({NAMES[j]} - m[{j}])' for j in range(i + 1)])}, 2)" for i in range(P)]))
 
 
 def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -170,7 +171,7 @@ def fit(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
         nearest = common.attach(measured, cut, keys, salt_by=NAMES[:1], how="inner").filter(F.col("d2") <= F.col("_cut"))
         estimate = common.written(_estimate(_moments(nearest, keys), keys), f"quality-step{step}")
         measured = common.attach(twice, estimate.drop("log_det"), keys, salt_by=NAMES[:1], how="inner").select(*keys, *NAMES, squared_distance().alias("d2"))
-    best = estimate.groupBy("cell").agg(F.min_by(F.struct(*ESTIMATE), F.struct("log_det", "start")).alias("_e"))
+    best = estimate.groupBy("cell").agg(F.min_by(F.struct("m", "w"), F.struct("log_det", "start")).alias("_e"))
     return common.written(best.select("cell", "_e.*"), "quality-estimate")
 
 
