@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from stratakit.llm.quality import op4_quality
 from stratakit.llm.simhash import op5_simhash
+from stratakit.llm.tokens import op1_tokens
 
-QUERIES = {"op4_quality": op4_quality, "op5_simhash": op5_simhash}
+QUERIES = {
+    "op1_tokens": op1_tokens,
+    "op4_quality": op4_quality,
+    "op5_simhash": op5_simhash,
+}
 ORACLE_SQL: dict[str, str] = {}
