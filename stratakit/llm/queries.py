@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from stratakit.llm.decontaminate import op6_decontaminate
 from stratakit.llm.mixing import op8_mixing
 from stratakit.llm.quality import op4_quality
 from stratakit.llm.simhash import op5_simhash
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_tokens": op1_tokens,
     "op4_quality": op4_quality,
     "op5_simhash": op5_simhash,
+    "op6_decontaminate": op6_decontaminate,
     "op8_mixing": op8_mixing,
 }
 ORACLE_SQL: dict[str, str] = {}
