@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from stratakit.llm.decontaminate import op6_decontaminate
+from stratakit.llm.linededup import OP9_SQL, op9_line_dedup
 from stratakit.llm.mixing import op8_mixing
 from stratakit.llm.quality import op4_quality
 from stratakit.llm.simhash import op5_simhash
@@ -14,5 +15,6 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_decontaminate": op6_decontaminate,
     "op8_mixing": op8_mixing,
+    "op9_line_dedup": op9_line_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_line_dedup": OP9_SQL}
