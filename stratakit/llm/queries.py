@@ -8,13 +8,18 @@ from stratakit.llm.mixing import op8_mixing
 from stratakit.llm.quality import op4_quality
 from stratakit.llm.simhash import op5_simhash
 from stratakit.llm.tokens import op1_tokens
+from stratakit.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
     "op1_tokens": op1_tokens,
     "op4_quality": op4_quality,
     "op5_simhash": op5_simhash,
     "op6_decontaminate": op6_decontaminate,
+    "op7_warc": op7_warc,
     "op8_mixing": op8_mixing,
     "op9_line_dedup": op9_line_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op9_line_dedup": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op7_warc": OP7_SQL,
+    "op9_line_dedup": OP9_SQL,
+}
