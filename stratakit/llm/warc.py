@@ -71,7 +71,7 @@ def parse_headers(data: bytes) -> dict[str, str] | None:
         if not colon or not name or name != name.strip():
             return None
         out[name.decode("utf-8", "replace").lower()] = value.strip().decode("utf-8", "replace")
-    return out if out.get("content-length", "").isdigit() else None
+    return out if out.get("content-length", "").isdigit() and out.get("warc-type") and out.get("warc-record-id") else None
 
 
 class Source:
