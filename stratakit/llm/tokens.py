@@ -34,7 +34,7 @@ END_ID = 0
 #: Ids after which a task begins another shard; a longer document has a shard for itself.
 SHARD_IDS = 1 << 22
 #: Words of a generation whose ids a worker remembers.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -121,7 +121,7 @@ class Encoder:
         self.old: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
     def _learn(self, words: set[str], before: str) -> dict[str, bytes]:
         """The remembered ids, these words among them; new ones are encoded together, a line feed between them."""
