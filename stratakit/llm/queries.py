@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from stratakit.llm.decontaminate import op6_decontaminate
+from stratakit.llm.hmm import op2_hmm
 from stratakit.llm.langid import op10_language
 from stratakit.llm.linededup import OP9_SQL, op9_line_dedup
 from stratakit.llm.mixing import op8_mixing
@@ -14,6 +15,7 @@ from stratakit.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
     "op1_tokens": op1_tokens,
+    "op2_hmm": op2_hmm,
     "op3_sharding": op3_sharding,
     "op4_quality": op4_quality,
     "op5_simhash": op5_simhash,
