@@ -108,18 +108,19 @@ class Index:
         self.term_at = np.searchsorted([p[0] for p in postings], np.arange(len(self.vocabulary) + 1))
         self.items = np.array([p[1] for p in postings], np.int32)
         self.impacts = np.array([p[2] for p in postings], np.float64)
-        self.n_blocks = -(-len(read) // BLOCK_ITEMS)
+        self.block_items = BLOCK_ITEMS
+        self.n_blocks = -(-len(read) // self.block_items)
         self.block_max = np.zeros((len(self.vocabulary), self.n_blocks), np.float32)
         if postings:
             terms = np.repeat(np.arange(len(self.vocabulary)), np.diff(self.term_at))
-            np.maximum.at(self.block_max, (terms, self.items // BLOCK_ITEMS), self.impacts.astype(np.float32))
+            np.maximum.at(self.block_max, (terms, self.items // self.block_items), self.impacts.astype(np.float32))
 
     def scores(self, terms: np.ndarray, block: int) -> np.ndarray:
         """Scores of a block's items for a set of terms, in units of their thresholds."""
-        first, out = block * BLOCK_ITEMS, np.zeros(BLOCK_ITEMS)
+        first, out = block * self.block_items, np.zeros(self.block_items)
         spans = [slice(self.term_at[t], self.term_at[t + 1]) for t in terms if self.block_max[t, block] > 0]
         items = np.concatenate([self.items[s] for s in spans]) - first
-        own = (items >= 0) & (items < BLOCK_ITEMS)
+        own = (items >= 0) & (items < self.block_items)
         np.add.at(out, items[own], np.concatenate([self.impacts[s] for s in spans])[own])
         return out
 
@@ -172,12 +173,12 @@ class Index:
                 a, b = np.searchsorted(passage, [p, p + 1 + (p + 1 < half_at[d] + halves[d])])
                 held_at, held, terms = p, {}, np.unique(ids[a:b])
             for i in np.flatnonzero((scores := self.scores(terms, block)) >= NEAR_ONE).tolist():
-                question, answer = self.parts[block * BLOCK_ITEMS + i]
+                question, answer = self.parts[block * self.block_items + i]
                 q = question.overlap(held, text)
                 a = answer.overlap(held, text) if q >= OVERLAP else 0.0
                 if q >= OVERLAP and a >= OVERLAP:
                     found = (float(scores[i]), q, a)
-                    at = (d, self.ids[block * BLOCK_ITEMS + i])
+                    at = (d, self.ids[block * self.block_items + i])
                     best[at] = max(best.get(at, found), found)
         for (d, item), found in best.items():
             yield (d, item, *found)

@@ -148,7 +148,8 @@ class Encoder:
         if not self.parted:
             return self._ids(text).tobytes()
         words = text.split()
-        if len(words) != text.count(" ") + text.count("\n") + 1:
+        gaps = len(words) - 1
+        if text.count(" ") + text.count("\n") != gaps or len(text) - len("".join(words)) != gaps:
             return self._uneven(text)
         lines = [line.split(" ") for line in text.split("\n")]
         spaced, bare = self._learn(set(words), " "), self._learn({line[0] for line in lines}, "")
@@ -202,7 +203,7 @@ def read_shard(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None] * nulls + (found[1] + least).tolist(), found[0], ids
 
 
-def _shards(batches: Iterable[pa.RecordBatch], folder: str, path: str) -> Iterator[pa.RecordBatch]:
+def _shards(batches: Iterable[pa.RecordBatch], folder: str, path: str, most: int) -> Iterator[pa.RecordBatch]:
     code, end = encoder(path), None
     end = np.array([END_ID], code.kind).tobytes()
     ids: list[int | None] = []
@@ -220,7 +221,7 @@ def _shards(batches: Iterable[pa.RecordBatch], folder: str, path: str) -> Iterat
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             got = code.encode(text.as_py() or "") + end
             n = len(got) // len(end)
-            if docs and size + n > SHARD_IDS:
+            if docs and size + n > most:
                 yield flush()
                 ids, docs, size, seq = [], [], 0, seq + 1
             ids.append(doc_id)
@@ -244,7 +245,8 @@ def write_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
     folder = common.new_path(spark, "token-shards")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_tie", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").drop("_tie")
-    shards = common.written(rows.mapInArrow(lambda b: _shards(b, folder, vocabulary), "part int, seq int, path string, n_docs long, n_ids long"), "token-manifest")
+    most = SHARD_IDS
+    shards = common.written(rows.mapInArrow(lambda b: _shards(b, folder, vocabulary, most), "part int, seq int, path string, n_docs long, n_ids long"), "token-manifest")
     before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n_ids"))
     parts = parts.select(F.col("part").alias("_part"), before(Window.orderBy("part")).alias("_before"))
