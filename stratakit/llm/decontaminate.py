@@ -186,7 +186,7 @@ class Index:
 
 def indexes(benchmark: DataFrame) -> Iterator[Index]:
     """The benchmark in indexes of bounded size, items of like length together; one at a time on the driver."""
-    sized = benchmark.select("item_id", "text").withColumn("_n", F.coalesce(F.length("text"), F.lit(0)) // 2 + 1)
+    sized = benchmark.select("item_id", "text").withColumn("_n", F.floor(F.coalesce(F.length("text"), F.lit(0)) / 2) + 1)
     until = F.sum("_n").over(Window.orderBy("_n", "item_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     shares = common.written(sized.withColumn("_share", F.floor(until / INDEX_WORDS)), "benchmark")
     for (share,) in sorted(shares.select("_share").distinct().collect()):
