@@ -293,7 +293,7 @@ OP7_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
 g AS (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY html ORDER BY page_id DESC NULLS LAST) AS place, max(page_id) OVER w AS last
   FROM p WINDOW w AS (PARTITION BY html)),
-b AS (SELECT *, list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+b AS (SELECT *, list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
   1 + ((('0x' || substr(hex || '0', 1 + (i * 5) // 4, 2))::INTEGER >> (3 - (i * 5) % 4)) & 31), 1)) AS digits FROM g)
 SELECT page_id, strlen(html) AS payload_bytes, array_to_string(digits, '') AS payload_digest,
   CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place > 1 THEN last END AS refers_to
