@@ -176,7 +176,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     lost = drops(docs).select(F.col("doc_id").alias("_id"), "keys")
-    joined = docs.join(lost, docs["doc_id"].eqNullSafe(lost["_id"]), "left").select("doc_id", "keys", "text")
+    # One plan at every size: drop lists grow with the table, so they are never broadcast.
+    joined = docs.join(lost.hint("merge"), docs["doc_id"].eqNullSafe(lost["_id"]), "left").select("doc_id", "keys", "text")
     return joined.mapInArrow(_cut, "doc_id long, n_lines long, n_dropped long, text string")
 
 
