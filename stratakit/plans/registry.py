@@ -2,16 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from stratakit.plans import corpus, events, graphs, relational, retrieval  # noqa: F401 - each registers its queries
+from stratakit.plans.base import ORACLE_SQL, QUERIES
 
-FLAGSHIP = "rel_group_lineitem"
+FLAGSHIP = "search_hybrid"
 
-
-def rel_group_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return lines.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
-
-
-QUERIES = {"rel_group_lineitem": rel_group_lineitem}
-ORACLE_SQL = {"rel_group_lineitem": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL"}
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
