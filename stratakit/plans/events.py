@@ -27,13 +27,13 @@ _GAPS = """g AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) >= {
 s AS (SELECT *, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM g)"""
 
 
-@query(f"WITH {_GAPS.format(gap=43200, cut='')} SELECT user_id, session, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last, count(*) AS n FROM s GROUP BY user_id, session HAVING count(*) >= 2")
+@query(f"WITH {_GAPS.format(gap='43200::BIGINT', cut='')} SELECT user_id, session, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last, count(*) AS n FROM s GROUP BY user_id, session HAVING count(*) >= 2")
 def session_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = S.gap_sessions(_events(spark, sf_dir), "user_id", "ts", "event_id", 43_200, keep=2)
     return out.select("user_id", "session", _text("first").alias("first"), _text("last").alias("last"), "n")
 
 
-@query(f"WITH {_GAPS.format(gap=86400, cut=chr(39).join([' OR event_type = ', 'signup', ''])).replace('events WINDOW', 'events WINDOW')} SELECT user_id, count(*) AS sessions, max(n) AS longest FROM (SELECT user_id, session, count(*) AS n FROM s GROUP BY ALL) GROUP BY user_id")
+@query(f"WITH {_GAPS.format(gap='86400::BIGINT', cut=chr(39).join([' OR event_type = ', 'signup', ''])).replace('events WINDOW', 'events WINDOW')} SELECT user_id, count(*) AS sessions, max(n) AS longest FROM (SELECT user_id, session, count(*) AS n FROM s GROUP BY ALL) GROUP BY user_id")
 def session_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sign-ups stand for cuts that a person made."""
     out = S.gap_sessions(_events(spark, sf_dir), "user_id", "ts", "event_id", 86_400, F.col("event_type") == "signup")

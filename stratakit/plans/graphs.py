@@ -92,7 +92,7 @@ def graph_world_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {NODES_SQL}, c AS (SELECT 'added' AS kind, rel, valid_from AS at, id FROM edges WHERE valid_from BETWEEN '1996-01' AND '1996-03-31T23:59:59Z' UNION ALL SELECT 'ended', rel, valid_to, id FROM edges WHERE valid_to BETWEEN '1996-01' AND '1996-03-31T23:59:59Z')
-SELECT kind, rel, count(*) AS n, max(at) AS latest FROM c GROUP BY kind, rel""")
+SELECT kind, rel, count(*) AS n, max("at") AS latest FROM c GROUP BY kind, rel""")
 def graph_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.changes(edges(spark, sf_dir), "1996-01", "1996-03").groupBy("kind", "rel").agg(F.count("*").alias("n"), F.max("at").alias("latest"))
 
@@ -196,13 +196,13 @@ def rules_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT p_partkey AS id, p_name AS name, p_brand AS type, p_size AS degree, trim(regexp_replace(lower(p_name), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS k FROM part),
-s AS (SELECT id, first_value(id) OVER (PARTITION BY type, regexp_replace(k, '(\\b[\\p{L}\\p{N}]{4,})s$', '\\1') ORDER BY degree DESC, len(regexp_replace(name, '[^\\p{Lu}]', '', 'g')) DESC, len(name), id) AS into FROM e) SELECT id, into FROM s WHERE id <> into""")
+s AS (SELECT id, first_value(id) OVER (PARTITION BY type, regexp_replace(k, '(\\b[\\p{L}\\p{N}]{4,})s$', '\\1') ORDER BY degree DESC, len(regexp_replace(name, '[^\\p{Lu}]', '', 'g')) DESC, len(name), id) AS target FROM e) SELECT id, target AS "into" FROM s WHERE id <> target""")
 def resolve_equal_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.equal_names(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("type"), F.col("p_size").alias("degree")))
 
 
-@query("""WITH RECURSIVE m AS (SELECT p_partkey AS id, p_partkey // 4 AS into FROM part WHERE p_partkey > 0 AND p_partkey % 4 <> 1),
-w AS (SELECT id, into FROM m UNION ALL SELECT w.id, m.into FROM w JOIN m ON w.into = m.id) SELECT id, min(into) AS cid FROM w GROUP BY id""")
+@query("""WITH RECURSIVE m AS (SELECT p_partkey AS id, p_partkey // 4 AS target FROM part WHERE p_partkey > 0 AND p_partkey % 4 <> 1),
+w AS (SELECT id, target FROM m UNION ALL SELECT w.id, m.target FROM w JOIN m ON w.target = m.id) SELECT id, min(target) AS cid FROM w GROUP BY id""")
 def resolve_merge_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.merge_chains(table(spark, sf_dir, "part").filter("p_partkey > 0 AND p_partkey % 4 <> 1").select(F.col("p_partkey").alias("id"), F.floor(F.col("p_partkey") / 4).alias("into")))
 
