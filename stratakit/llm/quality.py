@@ -175,6 +175,21 @@ def fit(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
     return common.written(best.select("cell", "_e.*"), "quality-estimate")
 
 
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
+def _judged(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` as _in0, _in1 and so on, so that none clashes with what is added: counts, distance and verdict."""
+    rows = docs.select(*[F.col(c).alias(f"_in{i}") for i, c in enumerate(columns)], "text", "lang", "source")
+    rows = statistics(rows).drop("text")
+    rows = common.written(rows.withColumns(vector()).withColumn("base_failed", base_failed()), "quality-rows")
+    rows = with_cells(rows)
+    estimate = fit(rows.filter(~F.col("base_failed")))
+    judged = common.attach(rows, estimate, ["cell"], salt_by=NAMES[:1]).withColumn("distance2", squared_distance())
+    outlier = F.coalesce(F.col("distance2") > chi_square(P, TAIL), F.lit(False))
+    return judged.withColumn("kept", ~F.col("base_failed") & ~outlier)
+
+
 def judge(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` of every document with its counts, distance and verdict.
 
@@ -182,15 +197,7 @@ def judge(docs: DataFrame, columns: list[str]) -> DataFrame:
     as empty and fails the base rule; null languages and sources form cells of
     their own; an empty table gives an empty result.
     """
-    kept = [F.col(c).alias(f"_in{i}") for i, c in enumerate(columns)]
-    rows = statistics(docs.select(*kept, F.col("text"), F.col("lang"), F.col("source"))).drop("text")
-    rows = common.written(rows.withColumns(vector()).withColumn("base_failed", base_failed()), "quality-rows")
-    rows = with_cells(rows)
-    estimate = fit(rows.filter(~F.col("base_failed")))
-    judged = common.attach(rows, estimate, ["cell"], salt_by=NAMES[:1]).withColumn("distance2", squared_distance())
-    outlier = F.coalesce(F.col("distance2") > chi_square(P, TAIL), F.lit(False))
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return judged.select(*[F.col(f"_in{i}").alias(c) for i, c in enumerate(columns)], *counts, (~F.col("base_failed") & ~outlier).alias("kept"), "distance2")
+    return _judged(docs, columns).select(*[F.col(f"_in{i}").alias(c) for i, c in enumerate(columns)], *COUNTS, "kept", "distance2")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,4 +206,5 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the rules keep, all their columns unchanged."""
-    return judge(docs, docs.columns).filter("kept").select(*docs.columns)
+    kept = _judged(docs, docs.columns).filter("kept")
+    return kept.select(*[F.col(f"_in{i}").alias(c) for i, c in enumerate(docs.columns)])
