@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratakit.llm import common, graph
+from stratakit.llm import common, graph, nearcopies
 
 BITS, SEED, SHINGLE, DISTANCE = 64, 42, 3, 2
 #: Members of a bucket up to which they are compared pair by pair.
@@ -192,14 +192,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the row with the least doc_id stays (of equal rows, one; null ids come last), all columns unchanged."""
+    """Pipeline stage: of each component of near copies (``nearcopies``: five words, similarity 0.8) the row with the least doc_id stays (of equal rows, one; null ids come last), all columns unchanged."""
     names = [f"_c{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*names).withColumn("_row", F.monotonically_increasing_id())
     at = {c: n for n, c in zip(names, docs.columns, strict=True)}
-    rows = with_fingerprints(rows.withColumn("text", F.col(at["text"])), [*names, "_row"])
-    rows = common.written(rows, "fingerprinted")
-    narrow = rows.select(F.col(at["doc_id"]).alias("doc_id"), "_row", "fp")
-    found = classes(narrow)
+    rows = common.written(nearcopies.with_sets(rows, at["text"]), "shingled")
+    roots = graph.components(nearcopies.links(rows, at["text"])).select(F.col("node").alias("_first"), "root")
+    firsts = rows.groupBy("_set").agg(F.min("_row").alias("_first")).join(roots, "_first", "left").select("_set", F.coalesce("root", "_first").alias("root"))
+    narrow = rows.select(F.col(at["doc_id"]).alias("doc_id"), "_row", "_set")
     first = F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
-    kept = narrow.join(found, "fp").groupBy("root").agg(first.alias("_row"))
+    kept = narrow.join(firsts, "_set").groupBy("root").agg(first.alias("_row"))
     return rows.join(kept.select("_row"), "_row", "left_semi").select(*names).toDF(*docs.columns)
