@@ -7,8 +7,9 @@ that: a passage that passes lacks at most the words that so many missing grams
 could cost, so it scores at least the item's own score less its heaviest words.
 No passage that would pass the check is missed.
 
-A document is cut into halves of as many words as the longest item of the index
-has; two neighbouring halves are a passage, so each place where an item could
+A document is cut into halves of ``HALF_WORDS`` words, or as many as the longest
+item of the whole benchmark has if that is more, so that what is found does not
+depend on how items are dealt to indexes; two neighbouring halves are a passage, so each place where an item could
 stand lies within one. Items are kept in blocks of near equal length, and each
 term has its largest impact in each block. Only blocks whose bound reaches the
 threshold for a passage have their postings read.
@@ -25,7 +26,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratakit.llm import common
@@ -34,6 +35,8 @@ GRAM, OVERLAP = 5, 0.8
 K1, B = 1.2, 0.75
 #: Items in a block, and words of all items in one index (a longer item has one for itself). A larger benchmark makes more indexes, each searched by every passage.
 BLOCK_ITEMS, INDEX_WORDS = 16, 100_000
+#: Words of half a passage, at least.
+HALF_WORDS = 64
 #: Words of documents searched at a time.
 SEARCH_WORDS = 300_000
 WORD = re.compile(r"\w+")
@@ -85,7 +88,7 @@ class Part:
 class Index:
     """An inverted index of items with block maxima; impacts are in units of the item's threshold."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, items: list[tuple[int, str | None]], half: int):
         read = []
         for item_id, text in items:
             question, answer = question_and_answer(text or "")
@@ -94,7 +97,7 @@ class Index:
         read.sort(key=lambda x: x[:2])
         self.ids = [x[1] for x in read]
         self.parts = [x[3:] for x in read]
-        self.half = read[-1][0] if read else 1
+        self.half = half
         self.vocabulary: dict[str, int] = {}
         df = Counter(w for _, _, tf, _, _ in read for w in tf)
         mean = sum(x[0] for x in read) / max(len(read), 1)
@@ -184,13 +187,37 @@ class Index:
             yield (d, item, *found)
 
 
+def longest(benchmark: DataFrame) -> int:
+    """Words of the longest item."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(words_of(x.as_py())) for x in batch.column(0)], pa.int64())], names=["n"])
+
+    return benchmark.select("text").mapInArrow(read, "n bigint").agg(F.max("n")).first()[0] or 0
+
+
 def indexes(benchmark: DataFrame) -> Iterator[Index]:
-    """The benchmark in indexes of bounded size, items of like length together; one at a time on the driver."""
+    """The benchmark in indexes of about ``INDEX_WORDS`` at most, items of like length together; one at a time on the driver.
+
+    Lengths in rising order share an index while it has room; a length that needs more than one is sliced by hash.
+    """
+    half = max(HALF_WORDS, longest(benchmark))
     sized = benchmark.select("item_id", "text").withColumn("_n", F.floor(F.coalesce(F.length("text"), F.lit(0)) / 2) + 1)
-    until = F.sum("_n").over(Window.orderBy("_n", "item_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    shares = common.written(sized.withColumn("_share", F.floor(until / INDEX_WORDS)), "benchmark")
+    dealt, share, used = [], 0, 0
+    for n, items in sorted(sized.groupBy("_n").agg(F.count("*")).collect()):
+        if used and used + n * items > INDEX_WORDS:
+            share, used = share + 1, 0
+        slices = max(1, min(items, -(-n * items // INDEX_WORDS)))
+        dealt.append((n, share, slices))
+        share, used = share + slices - 1, used + n * items // slices
+    if not dealt:
+        return
+    shares = benchmark.sparkSession.createDataFrame(dealt, "_n bigint, _first bigint, _slices bigint")
+    own = F.col("_first") + common.sliced(F.col("_slices"), F.col("item_id"), F.col("text"))
+    shares = common.written(sized.join(F.broadcast(shares), "_n").select("item_id", "text", own.alias("_share")), "benchmark")
     for (share,) in sorted(shares.select("_share").distinct().collect()):
-        yield Index([(r.item_id, r.text) for r in shares.filter(F.col("_share") == share).collect()])
+        yield Index([(r.item_id, r.text) for r in shares.filter(F.col("_share") == share).collect()], half)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

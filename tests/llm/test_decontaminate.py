@@ -57,3 +57,16 @@ def test_question_and_answer():
     assert D.question_and_answer("Who is it? A fox.") == ("Who is it?", " A fox.")
     assert D.question_and_answer("One two. Three four.") == ("One two.", " Three four.")
     assert D.question_and_answer("No end") == ("No end", "")
+
+
+@pytest.mark.parametrize("index_words", [100_000, 200, 30])
+def test_passages_do_not_depend_on_the_dealing(spark, monkeypatch, index_words):
+    """Question and answer with other text between them are found beside longer items, whatever index they are in."""
+    monkeypatch.setattr(D, "INDEX_WORDS", index_words)
+    items = [(i, f"{prose(12, 100 + i)}? {prose(8, 200 + i)}.") for i in range(4)] + [(9, f"{prose(50, 300)}? {prose(12, 301)}.")]
+    question, answer = items[1][1].split("?")
+    docs = [(i, f"{prose(at, 5)} {question}? {prose(30, 6)} {answer} {prose(150, 7)}") for i, at in enumerate((0, 5, 10))] + [(7, f"{prose(90, 8)} {items[9 - 5][1]}"), (8, prose(200, 9))]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in D.matches(frame, bench).collect()} == {(0, 1), (1, 1), (2, 1), (7, 9)}
+    assert [r.doc_id for r in D.clean(frame, bench).collect()] == [8]
