@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import reduce, wraps
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratakit.llm import files
+
 #: White space of every word rule here: space and U+0009 to U+000D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -18,35 +24,74 @@ LOWER = UPPER.lower()
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Most rows a broadcast side may have; beyond, the join is salted and shuffled.
 BROADCAST_ROWS = 20_000
-#: Rows in an Arrow batch that carries whole texts.
-TEXT_BATCH_ROWS = 2_000
 
 
 _own_dir: list[str] = []
+#: Tables of the work in progress, innermost last, and those of the pipeline stage before.
+_scopes: list[list[str]] = []
+_left: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; a temporary one only where none is named."""
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it; a temporary one where none is named and all runs on this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _own_dir:
             _own_dir.append(f"file://{tempfile.mkdtemp(prefix='stratakit-')}")
         path = _own_dir[0]
     return path.rstrip("/")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/stratakit/{name}-{uuid.uuid4().hex}"
+def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new place in the shared folder, noted for the scope it belongs to; with ``keep`` for the one around that."""
+    path = f"{shared_dir(spark)}/stratakit/{name}-{uuid.uuid4().hex}"
+    if len(_scopes) > keep:
+        _scopes[-1 - keep].append(path)
+    return path
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables written inside go when it ends, but for those that ``keep`` hands to the scope around it."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            files.remove(path)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: computed once, kept if an executor is lost."""
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """The rows as a table in the shared folder: computed once, kept if an executor is lost. ``keep``: it outlives the scope it is made in."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = new_path(spark, name, keep)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Delete what the last pipeline stage left for its result, which has been written by now."""
+    while _left:
+        files.remove(_left.pop())
+
+
+def staged(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A pipeline stage whose tables go when the next one begins. The caller writes the result before that."""
+
+    @wraps(stage)
+    def applied(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release()
+        _scopes.append([])
+        try:
+            return stage(spark, docs, sf_dir)
+        finally:
+            _left.extend(_scopes.pop())
+
+    return applied
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -80,5 +125,93 @@ def attach(big: DataFrame, small: DataFrame, on: list[str], salt_by: list[str],
     return salted.join(right, same & (salted["_salt"] == right["_salt_of"]), how).drop("_salt", "_salt_of", *names)
 
 
+def numbered(docs: DataFrame, name: str = "_row") -> DataFrame:
+    """``docs``, as read from files, with a number that is unique to each row: its partition in the high bits, its place there in the low ones.
+
+    Two reads of the same files number rows alike, whatever columns they take.
+    """
+    return docs.withColumn(name, F.monotonically_increasing_id())
+
+
+#: Bits of a row's number that tell its place in the partition.
+PLACE_BITS = 33
+
+
+def mark_rows(rows: DataFrame, name: str = "_row", payload: str | None = None, keep: bool = False) -> str:
+    """Write the numbers in ``rows``, with ``payload`` the 16 bytes beside each, as a file for each partition they come from; the folder.
+
+    What a partition's file holds is bounded by what the partition of a file
+    split holds. A task that runs again writes the same file.
+    """
+    folder = new_path(rows.sparkSession, "marked-rows", keep)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+
+        def put() -> None:
+            if held:
+                files.replace(f"{folder}/{part}", b"".join([*(n for n, _ in held), *(p for _, p in held)]))
+
+        for batch in batches:
+            numbers = batch.column(0).to_numpy()
+            parts = numbers >> PLACE_BITS
+            for p in np.unique(parts).tolist():
+                if p != part:
+                    put()
+                    part, held = p, []
+                a, b = np.searchsorted(parts, [p, p + 1])
+                held.append((numbers[a:b].astype("<i8").tobytes(), b"".join(batch.column(1)[a:b].to_pylist()) if payload else b""))
+        put()
+        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int64())], names=["n"])
+
+    dealt = rows.select(F.col(name).cast("long").alias(name), *([payload] if payload else [])).repartition(F.shiftright(name, PLACE_BITS)).sortWithinPartitions(name)
+    dealt.mapInArrow(write, "n long").agg(F.sum("n")).first()
+    return folder
+
+
+class Marked:
+    """What ``mark_rows`` wrote, looked up by row; a partition's file is read once by a task that reads that partition."""
+
+    def __init__(self, folder: str, width: int = 0):
+        self.folder, self.width, self.part = folder, width, None
+        self.numbers, self.payload = np.zeros(0, np.int64), b""
+
+    def _turn_to(self, part: int) -> None:
+        if part != self.part:
+            data = files.read_if_there(f"{self.folder}/{part}")
+            n = len(data) // (8 + self.width)
+            self.part, self.numbers, self.payload = part, np.frombuffer(data, "<i8", n), data[8 * n :]
+
+    def among(self, numbers: np.ndarray) -> np.ndarray:
+        """Which of the rows are there."""
+        out = np.zeros(len(numbers), bool)
+        parts = numbers >> PLACE_BITS
+        for part in np.unique(parts).tolist():
+            self._turn_to(part)
+            own = np.flatnonzero(parts == part)
+            if len(self.numbers):
+                at = np.minimum(np.searchsorted(self.numbers, numbers[own]), len(self.numbers) - 1)
+                out[own] = self.numbers[at] == numbers[own]
+        return out
+
+    def payloads(self, number: int) -> set[bytes]:
+        """What is written beside a row."""
+        self._turn_to(number >> PLACE_BITS)
+        a, b = np.searchsorted(self.numbers, [number, number + 1]).tolist() if len(self.numbers) else (0, 0)
+        return {self.payload[k * self.width : (k + 1) * self.width] for k in range(a, b)}
+
+
+def only_marked(docs: DataFrame, folder: str, name: str = "_row") -> DataFrame:
+    """The rows of numbered ``docs`` that ``mark_rows`` wrote; nothing is shuffled."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = Marked(folder)
+        for batch in batches:
+            kept = marked.among(batch.column(batch.schema.get_field_index(name)).to_numpy())
+            yield batch.filter(pa.array(kept))
+
+    return docs.mapInArrow(read, docs.schema)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
