@@ -25,10 +25,10 @@ from stratakit.llm import common, files
 VERSION = b"WARC/1.1"
 #: Compressed bytes after which a task begins another archive, and bytes read at a time.
 ARCHIVE_BYTES, CHUNK = 64 << 20, 1 << 20
-#: Largest header block that counts as one.
-MOST_HEADER = 64 << 10
 GZIP_HEAD = b"\x1f\x8b\x08"
-START = re.compile(rb"WARC/\d\.\d\r?\n")
+START = re.compile(rb"WARC/[0-9]\.[0-9]")
+#: A length as headers state it, and bytes that no header line holds.
+NUMBER, CONTROL = re.compile(r"[0-9]{1,19}"), re.compile(rb"[\x00-\x08\x0b-\x1f\x7f]")
 DATE = "2024-01-01T00:00:00Z"
 #: Smallest payload that a revisit record stands for.
 MIN_REVISIT = 0
@@ -48,7 +48,7 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, revisit: b
     urn = lambda i: f"<urn:page:{'' if i is None else i}>"
     head = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", urn(page_id)), ("WARC-Date", DATE)]
     if url:
-        head.append(("WARC-Target-URI", re.sub(r"[\r\n]+", " ", url)))
+        head.append(("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)))
     head += [("WARC-Payload-Digest", f"sha1:{digest(payload)}"), ("WARC-Payload-Length", str(len(payload)))]
     if revisit:
         head += [("WARC-Refers-To", urn(refers_to)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
@@ -60,28 +60,24 @@ def gzip_member(data: bytes, level: int = 6) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def parse_headers(data: bytes) -> dict[str, str] | None:
-    """Fields of a header block without its empty line, names in lower case; None if it has another form."""
-    first, *lines = data.replace(b"\r\n", b"\n").split(b"\n")
-    if not START.fullmatch(first + b"\n"):
+def field_of(line: bytes) -> tuple[str, str] | None:
+    """Name, in lower case, and value of a header line; None if it has another form."""
+    name, colon, value = line.partition(b":")
+    if not colon or not name or name != name.strip() or CONTROL.search(line):
         return None
-    out: dict[str, str] = {}
-    for line in lines:
-        name, colon, value = line.partition(b":")
-        if not colon or not name or name != name.strip():
-            return None
-        out[name.decode("utf-8", "replace").lower()] = value.strip().decode("utf-8", "replace")
-    return out if out.get("content-length", "").isdigit() and out.get("warc-type") and out.get("warc-record-id") else None
+    return name.decode("utf-8", "replace").lower(), value.strip().decode("utf-8", "replace")
 
 
 class Source:
     """A file's bytes from a moving place, read in chunks; only what is still needed is held."""
 
-    def __init__(self, file: IO[bytes]):
-        self.file, self.held, self.at, self.ended = file, bytearray(), 0, False
+    def __init__(self, file: IO[bytes], size: int | None = None):
+        self.file, self.size, self.held, self.at, self.ended = file, size, bytearray(), 0, False
 
     def fill(self, n: int) -> bool:
-        """Hold at least n bytes from the place on, if the file has them."""
+        """Hold at least n bytes from the place on, if the file has them; where its size is known, one that has not is not read."""
+        if self.size is not None and self.at + n > self.size and n > len(self.held) + CHUNK:
+            return False
         while len(self.held) < n and not self.ended:
             chunk = self.file.read(max(CHUNK, n - len(self.held)))
             self.ended = not chunk
@@ -93,21 +89,39 @@ class Source:
         self.at += n
 
 
+def read_headers(data: Source) -> tuple[dict[str, str], int] | None:
+    """The fields of the header block at the place and its length; None at the first line of another form, so little is held of what is none."""
+    out: dict[str, str] = {}
+    line_at = seen = 0
+    while True:
+        while (end := data.held.find(b"\n", seen)) < 0:
+            if CONTROL.search(data.held[seen:].removesuffix(b"\r")):
+                return None
+            seen = len(data.held)
+            if not data.fill(seen + 1):
+                return None
+        line = bytes(data.held[line_at:end]).removesuffix(b"\r")
+        if line_at == 0:
+            if not START.fullmatch(line):
+                return None
+        elif not line:
+            break
+        elif (found := field_of(line)) is None:
+            return None
+        else:
+            out[found[0]] = found[1]
+        line_at = seen = end + 1
+    stated = NUMBER.fullmatch(out.get("content-length", "")) and out.get("warc-type") and out.get("warc-record-id")
+    return (out, end + 1) if stated else None
+
+
 def read_plain(data: Source) -> tuple[dict[str, str], bytes, int] | None:
     """Headers, block and length of the plain record at the place; None if there is none that passes."""
-    size, end = 4096, -1
-    while end < 0:
-        more = data.fill(size)
-        found = [(i, len(s)) for s in (b"\r\n\r\n", b"\n\n") if (i := data.held.find(s, 0, size + 4)) >= 0]
-        if found:
-            end, gap = min(found)
-        elif not more or size >= MOST_HEADER:
-            return None
-        size *= 4
-    headers = parse_headers(bytes(data.held[:end]))
-    if headers is None:
+    found = read_headers(data)
+    if found is None:
         return None
-    n, start = int(headers["content-length"]), end + gap
+    headers, start = found
+    n = int(headers["content-length"])
     # The record's closing line ends also tell a wrong length.
     if not data.fill(start + n + 2):
         return None
@@ -145,7 +159,7 @@ def read_member(data: Source) -> tuple[list[tuple[dict[str, str], bytes]], int]
             used += len(piece) - len(z.unused_data)
     except zlib.error:
         return None
-    inner, records = Source(_Whole(bytes(out))), []
+    inner, records = Source(_Whole(bytes(out)), len(out)), []
     while inner.fill(1):
         found = read_plain(inner)
         if found is None or not sound(found[0], found[1]):
@@ -155,14 +169,15 @@ def read_member(data: Source) -> tuple[list[tuple[dict[str, str], bytes]], int]
     return records, used
 
 
-def salvage(file: IO[bytes]) -> Iterator[tuple[str, int, int, dict[str, str], bytes]]:
+def salvage(file: IO[bytes], size: int | None = None) -> Iterator[tuple[str, int, int, dict[str, str], bytes]]:
     """("record", place, length, headers, block) of every sound record and ("gap", place, length, {}, b"") of every run of bytes that is none.
 
     Records of a member share its place and length. Bytes after a place that
     fails are searched for the next member head or version line; one that fails
-    its own checks stays in the gap.
+    its own checks stays in the gap. ``size`` is the file's, if it is known: a
+    record that states more than is left fails at once.
     """
-    data, gap_at = Source(file), None
+    data, gap_at = Source(file, size), None
     while data.fill(1):
         data.fill(16)
         got = None
@@ -256,10 +271,10 @@ def read_archives(paths: DataFrame, payloads: bool = True) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 rows, held = [], 0
                 with files.opened(path) as f:
-                    for kind, place, length, head, block in salvage(f):
+                    for kind, place, length, head, block in salvage(f, files.size(path)):
                         stated = head.get("warc-payload-digest", "").removeprefix("sha1:") or (digest(block) if kind == "record" else None)
                         full = head.get("warc-payload-length", "")
-                        n = int(full) if full.isdigit() else len(block) if kind == "record" else None
+                        n = int(full) if NUMBER.fullmatch(full) and int(full) < 1 << 63 else len(block) if kind == "record" else None
                         rows.append((path, kind, place, length, head.get("warc-type"), head.get("warc-record-id"), head.get("warc-target-uri"), head.get("warc-refers-to"), stated, n, block if payloads else None))
                         held += len(block)
                         if held > CHUNK or len(rows) >= 2000:
@@ -283,8 +298,15 @@ def gaps(records: DataFrame) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each row of ``pages``, from the archives. Null ids stay null; a null html is an empty payload; an empty table gives an empty result."""
-    records = read_archives(write_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")), payloads=False).filter("kind = 'record'")
+    """A row for each row of ``pages``, from the archives; the log of gaps is written beside them.
+
+    Null ids stay null; a null html is an empty payload; urls and texts may have
+    any length; of repeated rows one is the response; an empty table gives an
+    empty result; other columns are not read.
+    """
+    records = common.written(read_archives(write_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")), payloads=False).drop("payload"), "warc-records")
+    common.written(gaps(records), "warc-gaps")
+    records = records.filter("kind = 'record'")
     number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).try_cast("long")
     return records.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 

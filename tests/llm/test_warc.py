@@ -38,8 +38,30 @@ def test_odd_rows(spark, as_tables):
     rows = [(1, "u", "a"), (2, None, "a"), (3, "u\r\nv", "a"), (3, "u", "a"), (4, "u", ""), (None, None, None), (5, "u", "WARC/1.1\r\nx\r\n\r\n"), (-6, "u", "é" * 300_000), (None, "u", "é" * 300_000), (7, "u", "\x1f\x8b\x08 in a page")]
     frame = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "1 AS row", "2 AS sha", "3 AS revisit")
     got = sorted(map(tuple, W.op7_warc(spark, as_tables(pages=frame)).collect()), key=str)
-    assert [g[:4] for g in got] == [s[:4] for s in slow([(a, c) for a, _, c in rows])] or sorted(g[3] for g in got) == sorted(s[3] for s in slow([(a, c) for a, _, c in rows]))
-    assert {(g[0], g[1], g[2]) for g in got} == {(s[0], s[1], s[2]) for s in slow([(a, c) for a, _, c in rows])}
+    want = slow([(a, c) for a, _, c in rows])
+    # Which of two rows with equal id and payload is the response is open; how many are is not.
+    assert sorted(g[:4] for g in got if g[0] is not None) == sorted(s[:4] for s in want if s[0] is not None)
+    assert sorted((g[1:4] for g in got if g[0] is None)) == sorted((s[1:4] for s in want if s[0] is None))
+
+
+def test_long_urls_and_control_characters(spark, as_tables):
+    rows = [(1, "http://x/" + "u" * 1_000_000, "a"), (2, "http://x/\x00\x07 y\r\n\r\nz", "b"), (3, "", "c" * 3_000_000)]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert sorted(r.page_id for r in W.op7_warc(spark, as_tables(pages=frame)).collect()) == [1, 2, 3]
+
+
+def test_lengths_that_are_none():
+    """A damaged length ends neither the job nor the reading of what follows."""
+    parts = members(3)
+    for n in ("²", "9" * 5000, "9" * 18, "-1", "", "1_0"):
+        bad = W.record_bytes([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:page:9>")], b"this").replace(b"Content-Length: 4", f"Content-Length: {n}".encode())
+        for data in (W.gzip_member(bad), bad):
+            whole = parts[0] + data + parts[1]
+            assert read(whole)[0] == [0, 1]
+            got = list(W.salvage(io.BytesIO(whole), len(whole)))
+            assert [g[0] for g in got] == ["record", "gap", "record"]
+    full = W.record_bytes([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:page:9>"), ("WARC-Payload-Length", "²")], b"this")
+    assert read(full)[0] == [9]
 
 
 def test_empty_table(spark, as_tables):
