@@ -2,13 +2,14 @@
 
 First pass: each task hashes its distinct (document, key) pairs and deals the
 hashes out by slice. A slice's owner puts each into the filter of hashes seen
-once or, if that holds it, into the filter of hashes seen twice. The second
-filter alone goes to all tasks. Its size is fixed by ``FILTER_BITS``: with more
-lines it lets more through, and the confirmation that follows stays exact.
+once or, if that holds it, into the filter of hashes seen twice. Both filters
+grow with the number of lines. The second one's slices are files in the shared
+folder, which tasks read as they need them; the driver holds none.
 
 Second pass: lines whose hash is in the second filter are suspects. Their keys,
 as 128-bit digests, are counted over distinct documents; keys in ``MIN_DOCS`` or
-more keep their lines in the largest doc_id alone. Third pass: the lines go.
+more keep their lines in the largest doc_id alone. Third pass: the lines go. What
+each partition loses lies in a file beside it, so texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -22,12 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratakit.llm import common
+from stratakit.llm import common, files
 
 MIN_CHARS, MIN_DOCS = 20, 3
-#: Bits of each filter (32 MB), its slices, and probes for a hash.
-FILTER_BITS, SLICES, PROBES = 1 << 28, 64, 4
-SLICE_BITS = FILTER_BITS // SLICES
+#: Bits of a filter for each line, of a slice of it (512 KB), the fewest slices, and probes for a hash.
+LINE_BITS, SLICE_BITS, LEAST_SLICES, PROBES = 12, 1 << 22, 64, 4
+#: Slices that a task holds at once.
+HELD_SLICES = 128
 #: Hashes a task holds before it sends them on.
 HELD_HASHES = 1 << 20
 
@@ -47,8 +49,16 @@ def probes(hashes: np.ndarray) -> np.ndarray:
     return ((low[:, None] + np.arange(PROBES, dtype=np.uint64) * high[:, None]) % np.uint64(SLICE_BITS)).astype(np.int64)
 
 
-def slice_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(58)).astype(np.int64) % SLICES
+def slice_of(hashes: np.ndarray, slices: int) -> np.ndarray:
+    """The slice of each hash; ``slices`` is a power of two."""
+    return (hashes >> np.uint64(65 - slices.bit_length())).astype(np.int64)
+
+
+def slices_for(docs: DataFrame) -> int:
+    """Enough slices for all lines of ``docs``."""
+    text = F.coalesce("text", F.lit(""))
+    n = docs.agg(F.sum(F.length(text) - F.length(F.translate(text, "\n", "")) + 1)).first()[0] or 0
+    return max(LEAST_SLICES, 1 << (-(-n * LINE_BITS // SLICE_BITS) - 1).bit_length())
 
 
 class Bits:
@@ -69,15 +79,14 @@ def _texts(batch: pa.RecordBatch, i: int) -> Iterator[bytes]:
         yield text.as_py() or b""
 
 
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hashes(batches: Iterator[pa.RecordBatch], n_slices: int) -> Iterator[pa.RecordBatch]:
     """Hashes of each document's distinct keys, by slice."""
 
     def sent(held: list[int]) -> pa.RecordBatch:
-        hashes = np.array(held, np.uint64)
-        order = np.argsort(hashes)
-        hashes, slices = hashes[order], slice_of(hashes[order])
-        parts = [hashes[slices == s] for s in range(SLICES)]
-        return pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "hashes"])
+        hashes = np.sort(np.array(held, np.uint64))
+        slices, first = np.unique(slice_of(hashes, n_slices), return_index=True)
+        parts = np.split(hashes, first[1:])
+        return pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "hashes"])
 
     held: list[int] = []
     for batch in batches:
@@ -90,98 +99,118 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield sent(held)
 
 
-def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The slices that a task owns of the filter of hashes seen twice."""
-    once: dict[int, Bits] = {}
-    twice: dict[int, Bits] = {}
+def _twice(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """Write the slices that a task owns of the filter of hashes seen twice; rows come slice by slice."""
+    now, seen, again = None, Bits(), Bits()
+
+    def put() -> None:
+        if now is not None and again.words.any():
+            files.replace(f"{folder}/{now}", again.words.tobytes())
+
     for batch in batches:
         for s, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if s != now:
+                put()
+                now, seen, again = s, Bits(), Bits()
             hashes = np.frombuffer(data.as_py(), np.uint64)
-            if not len(hashes):
-                continue
-            seen, again = once.setdefault(s, Bits()), twice.setdefault(s, Bits())
             first = np.concatenate([[True], hashes[1:] != hashes[:-1]])  # sorted: a repeat within the batch stands beside its first
             again.add(probes(hashes[~first]))
             at = probes(hashes[first])
             again.add(at[seen.holds(at)])
             # Two new hashes of a batch may share bits; marking them twice only makes more suspects.
             seen.add(at)
-    for s, bits in twice.items():
-        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([bits.words.tobytes()], pa.binary())], names=["slice", "bits"])
+    put()
+    yield pa.RecordBatch.from_arrays([pa.array([1], pa.int64())], names=["n"])
 
 
-def seen_twice(docs: DataFrame) -> dict[int, bytes]:
-    """The second filter by slice; at most ``FILTER_BITS`` bits in all, whatever the table."""
-    dealt = docs.select("text").mapInArrow(_hashes, "slice int, hashes binary").filter("octet_length(hashes) > 0")
-    slices = dealt.repartition(SLICES, "slice").mapInArrow(_twice, "slice int, bits binary")
-    return {r.slice: bytes(r.bits) for r in slices.collect()}
+def seen_twice(docs: DataFrame) -> tuple[str, int]:
+    """The folder of the second filter, a file for each slice that holds anything, and the number of slices."""
+    folder, n = common.new_path(docs.sparkSession, "seen-twice"), slices_for(docs)
+    dealt = docs.select("text").mapInArrow(lambda b: _hashes(b, n), "slice int, hashes binary")
+    dealt.repartition("slice").sortWithinPartitions("slice").mapInArrow(lambda b: _twice(b, folder), "n long").agg(F.sum("n")).first()
+    return folder, n
 
 
-def suspects(docs: DataFrame, twice: dict[int, bytes]) -> DataFrame:
-    """(doc_id, key) of the distinct suspected keys of every row; ``key`` is a 128-bit digest."""
-    held = docs.sparkSession.sparkContext.broadcast(twice)
+def suspects(docs: DataFrame, twice: tuple[str, int]) -> DataFrame:
+    """(row, doc_id, key) of the distinct suspected keys of every row; ``key`` is a 128-bit digest."""
+    folder, n_slices = twice
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = {s: Bits(b) for s, b in held.value.items()}
+        held: dict[int, Bits | None] = {}
+
+        def slice_at(s: int) -> Bits | None:
+            if s not in held:
+                if len(held) >= HELD_SLICES:
+                    held.pop(next(iter(held)))
+                data = files.read_if_there(f"{folder}/{s}")
+                held[s] = Bits(data) if data else None
+            return held[s]
+
         for batch in batches:
-            ids, keys, hashes = [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), _texts(batch, 1), strict=True):
+            at_row, keys, hashes = [], [], []
+            for i, text in enumerate(_texts(batch, 2)):
                 for k in {k for line in text.split(b"\n") if (k := key_of(line)) is not None}:
-                    ids.append(doc_id)
+                    at_row.append(i)
                     keys.append(k)
                     hashes.append(xxhash.xxh3_64_intdigest(k))
             marks = np.array(hashes, np.uint64)
-            slices, at, hit = slice_of(marks), probes(marks), np.zeros(len(marks), bool)
-            for s, bits in filters.items():
-                own = np.flatnonzero(slices == s)
-                hit[own] = bits.holds(at[own])
-            kept = np.flatnonzero(hit).tolist()
-            if kept:
-                digests = [hashlib.blake2b(keys[i], digest_size=16).digest() for i in kept]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in kept], pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "key"])
+            slices, at, hit = slice_of(marks, n_slices), probes(marks), np.zeros(len(marks), bool)
+            order = np.argsort(slices, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(slices[order])) + 1) if len(order) else ():
+                if (bits := slice_at(int(slices[own[0]]))) is not None:
+                    hit[own] = bits.holds(at[own])
+            kept = np.flatnonzero(hit)
+            rows = pa.array(np.array(at_row, np.int64)[kept])
+            digests = [hashlib.blake2b(keys[i], digest_size=16).digest() for i in kept.tolist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(digests, pa.binary())], names=["row", "doc_id", "key"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(found, "doc_id long, key binary")
+    return docs.select("row", "doc_id", "text").mapInArrow(found, "row long, doc_id long, key binary")
 
 
-def drops(docs: DataFrame) -> DataFrame:
-    """(doc_id, keys): for each document the keys whose lines it loses. Null ids count as one document, less than all others."""
-    suspected = common.written(suspects(docs, seen_twice(docs)).distinct(), "suspects")
-    repeated = suspected.groupBy("key").agg(F.count("*").alias("_docs"), F.max("doc_id").alias("_last")).filter(F.col("_docs") >= MIN_DOCS)
-    repeated = common.written(repeated.drop("_docs"), "repeated-keys")
-    lost = suspected.join(repeated, "key").filter(~F.col("doc_id").eqNullSafe(F.col("_last")))
-    return common.written(lost.groupBy("doc_id").agg(F.collect_list("key").alias("keys")), "line-drops")
+def drops(docs: DataFrame) -> str:
+    """The folder of the keys that each row of ``docs`` (row, doc_id, text) loses, by ``common.mark_rows``. Null ids count as one document, less than all others.
+
+    The join is with a written table: Spark broadcasts it while it is small,
+    else it splits the rows of a line that a large share of all documents hold.
+    """
+    with common.scope():
+        suspected = common.written(suspects(docs, seen_twice(docs)), "suspects")
+        holders = suspected.select("key", "doc_id").distinct().groupBy("key").agg(F.count("*").alias("_docs"), F.max("doc_id").alias("_last"))
+        repeated = common.written(holders.filter(F.col("_docs") >= MIN_DOCS).drop("_docs"), "repeated-keys")
+        lost = suspected.join(repeated, "key").filter(~F.col("doc_id").eqNullSafe(F.col("_last")))
+        return common.mark_rows(lost, "row", payload="key", keep=True)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digest columns of each document after its lines went."""
+def _cut(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """Each document after its lines went."""
+    lost = common.Marked(folder, 16)
     for batch in batches:
         out = []
-        for keys, text in zip(batch.column(1).to_pylist(), _texts(batch, 2), strict=True):
-            lines, kept = text.split(b"\n"), None
-            if keys:
-                gone = set(keys)
-                kept = [line for line in lines if (k := key_of(line)) is None or hashlib.blake2b(k, digest_size=16).digest() not in gone]
-            rest = lines if kept is None else kept
+        for row, text in zip(batch.column(0).to_pylist(), _texts(batch, 2), strict=True):
+            lines, rest = text.split(b"\n"), None
+            if gone := lost.payloads(row):
+                rest = [line for line in lines if (k := key_of(line)) is None or hashlib.blake2b(k, digest_size=16).digest() not in gone]
+            rest = lines if rest is None else rest
             out.append((len(lines), len(lines) - len(rest), b"\n".join(rest)))
         n, dropped, texts = zip(*out, strict=True) if out else ((), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "n_lines", "n_dropped", "text"])
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "n_lines", "n_dropped", "text"])
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_lines, n_dropped, text): every row of ``docs`` with its text after repeated lines went.
+    """(doc_id, n_lines, n_dropped, text): every row of ``docs``, read from files, with its text after repeated lines went.
 
     A null or empty text is one empty line. Rows that share a doc_id are one
-    document: a key in any of them counts once, and they lose the same keys. An
-    empty table gives an empty result; other columns are not read.
+    document: a key in any of them counts once, and they lose the same keys. A
+    text of any length is read whole. An empty table gives an empty result;
+    other columns are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lost = drops(docs).select(F.col("doc_id").alias("_id"), "keys")
-    # One plan at every size: drop lists grow with the table, so they are never broadcast.
-    joined = docs.join(lost.hint("merge"), docs["doc_id"].eqNullSafe(lost["_id"]), "left").select("doc_id", "keys", "text")
-    return joined.mapInArrow(_cut, "doc_id long, n_lines long, n_dropped long, text string")
+    docs = common.numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "row").select("row", "doc_id", "text")
+    folder = drops(docs)
+    return docs.mapInArrow(lambda b: _cut(b, folder), "doc_id long, n_lines long, n_dropped long, text string")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of ``documents``, by ``dedup_lines``: null and empty texts are one empty line, null ids one document, repeated rows stay rows of their own."""
     return dedup_lines(common.documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 

@@ -35,10 +35,12 @@ def test_query_equals_brute_force_and_sql(spark):
 
 
 @pytest.mark.parametrize("full", [False, True])
-def test_odd_rows_and_a_full_filter(spark, odd_docs, as_tables, monkeypatch, full):
+def test_odd_rows_and_a_full_filter(spark, odd_docs, as_tables, monkeypatch, tmp_path, full):
     """A filter that lets everything through changes nothing in the result."""
     if full:
-        monkeypatch.setattr(L, "seen_twice", lambda docs: {s: b"\xff" * (L.SLICE_BITS // 8) for s in range(L.SLICES)})
+        for s in range(64):
+            (tmp_path / str(s)).write_bytes(b"\xff" * (L.SLICE_BITS // 8))
+        monkeypatch.setattr(L, "seen_twice", lambda docs: (str(tmp_path), 64))
     line, odd = "The same line of at least twenty", "exactly twenty cps é"
     extra = [(20 + i, f"x{i}\n{line}\n \t{line.upper()}\r\n{odd if i < 3 else odd[1:]}") for i in range(5)] + [(None, f"{line}\n"), (24, f"{odd}\n{line}")]
     docs = odd_docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id bigint, text string")).selectExpr("*", "1 AS keys", "2 AS n_lines")
@@ -48,3 +50,11 @@ def test_odd_rows_and_a_full_filter(spark, odd_docs, as_tables, monkeypatch, ful
 
 def test_empty_table(spark, no_docs, as_tables):
     assert L.op9_line_dedup(spark, as_tables(documents=no_docs)).count() == 0
+
+
+def test_filters_grow_with_the_lines(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a\nb\n"), (2, None), (3, "c")], "doc_id bigint, text string")
+    assert L.slices_for(docs) == 64
+    monkeypatch.setattr(L, "LEAST_SLICES", 1)
+    monkeypatch.setattr(L, "LINE_BITS", L.SLICE_BITS)
+    assert L.slices_for(docs) == 8  # five lines
