@@ -1,9 +1,11 @@
 """Language ID, words first: known words by their log frequency in each language, unseen ones by character n-grams.
 
-Word counts cover all training documents. The model holds at most ``WORDS``
-words, the most frequent: a word beyond is unseen, and scored by the longest of
-its n-grams (``LONGEST`` down to 1 characters) that the model knows. N-gram
-counts come from at most ``GRAM_WORDS`` distinct words, drawn by hash.
+Counts cover all words of all training documents and all n-grams of these words;
+both are tables. Every worker holds the ``HEAD`` most frequent words; a text's
+other words are joined with the word table, and those that it lacks, each once,
+with the n-gram table: an unseen word has the mean of its longest n-grams
+(``LONGEST`` down to 1 characters) that are known. ``HEAD`` decides what is
+joined, not what is known.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
@@ -20,14 +23,12 @@ from pyspark.sql import functions as F
 
 from stratakit.llm import common
 
-WORDS, GRAM_WORDS, GRAMS, LONGEST = 100_000, 100_000, 200_000, 5
-#: Characters of the longest word that is kept as a word.
-LONG_WORD = 48
+HEAD, LONGEST = 150_000, 5
 SMOOTH = 0.5
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
-#: Words counted by a task before it sends them on, and words whose n-gram score a worker remembers.
-HELD_WORDS, CACHE_WORDS = 200_000, 100_000
+#: Words or n-grams counted by a task before it sends them on, and rows of words in a batch.
+HELD, SENT = 200_000, 50_000
 
 
 def words_of(text: str) -> list[str]:
@@ -38,129 +39,164 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 5 == 0
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, word, n): a task's own counts."""
+def grams_of(word: str, n: int) -> list[str]:
+    marked = f"<{word}>"
+    return [marked[i : i + n] for i in range(len(marked) - n + 1)]
+
+
+def _counted(rows: Iterator[tuple[str, list[str]]], name: str) -> Iterator[pa.RecordBatch]:
+    """(lang, ``name``, n): a task's own counts of (lang, items)."""
     held: dict[str, Counter[str]] = {}
 
     def sent() -> Iterator[pa.RecordBatch]:
-        for lang, words in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words)), pa.array(words.keys()), pa.array(words.values(), pa.int64())], names=["lang", "word", "n"])
+        for lang, items in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(items)), pa.array(items.keys(), pa.string()), pa.array(items.values(), pa.int64())], names=["lang", name, "n"])
 
-    for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            held.setdefault(lang, Counter()).update(words_of(text.as_py()))
-        if sum(map(len, held.values())) > HELD_WORDS:
+    for k, (lang, items) in enumerate(rows):
+        held.setdefault(lang, Counter()).update(items)
+        if k % 64 == 0 and sum(map(len, held.values())) > HELD:
             yield from sent()
             held = {}
     yield from sent()
 
 
-def _at_most(counts: DataFrame, most: int) -> int:
-    """The least n such that no more than ``most`` rows of ``counts`` have so many or more; from a histogram."""
-    total, least = 0, 1
-    for n, rows in sorted(counts.groupBy("n").agg(F.count("*").alias("c")).filter(F.col("n") > 0).collect(), reverse=True):
-        total += rows
-        if total > most:
-            return n + 1
-        least = n
-    return least
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _counted(((lang, words_of(text.as_py())) for b in batches for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True)), "word")
+
 
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pairs = ((lang, word) for b in batches for lang, word in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+    yield from _counted(((lang, [g for n in range(1, LONGEST + 1) for g in grams_of(word, n)]) for lang, word in pairs), "gram")
 
+
+@dataclass
 class Model:
-    """Log frequencies of words and n-grams by language."""
-
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray], sizes: np.ndarray):
-        self.langs, self.gram = langs, grams
-        self.index = {w: i for i, w in enumerate(words)}
-        self.words = np.array(list(words.values()), np.float64).reshape(-1, len(langs)) if words else np.zeros((0, len(langs)))
-        # Where nothing is known, languages stand as their words do in the training text.
-        self.prior = np.log((sizes + SMOOTH) / (sizes.sum() + SMOOTH * max(len(langs), 1))) if len(langs) else sizes
-        self.cache: dict[str, np.ndarray] = {}
-
-    def unseen(self, word: str) -> np.ndarray:
-        """The mean over the longest n-grams of the word that are known, nothing if none is."""
-        if (got := self.cache.get(word)) is not None:
-            return got
-        marked, out = f"<{word}>", np.zeros(len(self.langs))
-        for n in range(min(LONGEST, len(marked)), 0, -1):
-            found = [g for i in range(len(marked) - n + 1) if (g := self.gram.get(marked[i : i + n])) is not None]
-            if found:
-                out = np.mean(found, axis=0)
-                break
-        if len(word) <= LONG_WORD:
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            self.cache[word] = out
-        return out
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language and its share of the likelihood; of equal ones the first by code point."""
-        if not text or not self.langs or not next(filter(str.isalpha, text), None):
-            return UNKNOWN, 0.0
-        words = words_of(text)
-        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
-        score = self.prior + self.words[at[at >= 0]].sum(axis=0)
-        for i in np.flatnonzero(at < 0).tolist():
-            score = score + self.unseen(words[i])
-        share = np.exp(score - score.max())
-        best = int(np.argmax(share))
-        return self.langs[best], float(share[best] / share.sum())
-
-
-def _logs(rows: pa.Table, langs: list[str], totals: np.ndarray, kinds: int) -> dict[str, np.ndarray]:
-    at = {x: i for i, x in enumerate(langs)}
-    found: dict[str, np.ndarray] = {}
-    for lang, word, n in zip(*(rows.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
-        found.setdefault(word, np.zeros(len(langs)))[at[lang]] = n
-    return {w: np.log((v + SMOOTH) / (totals + SMOOTH * (kinds + 1))) for w, v in found.items()}
+    """Languages with the log share of their words (``prior``), and the log frequencies of words (word, n, v) and n-grams (gram, v) in each."""
+
+    langs: list[str]
+    prior: np.ndarray
+    words: DataFrame
+    grams: DataFrame
+
+
+def _by_item(counts: DataFrame, item: str, langs: list[str]) -> DataFrame:
+    """(item, n, c): its count in all and in each language."""
+    each = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)) for x in langs]
+    return counts.groupBy(item).agg(F.sum("n").alias("n"), F.array(*each).alias("c"))
+
+
+def _logs(counts: Column, least: list[float]) -> Column:
+    """log((count + SMOOTH) / total) for each language, ``least`` being the logs of the totals."""
+    return F.zip_with(counts, F.array(*map(F.lit, least)), lambda c, t: F.log(c + F.lit(SMOOTH)) - t)
 
 
 def fit(docs: DataFrame) -> Model:
     """Learn from ``docs`` (text, lang); rows with a null in either teach nothing."""
     train = docs.select(F.col("lang").cast("string").alias("lang"), "text").filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = train.mapInArrow(_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    langs = sorted(r.lang for r in train.select("lang").distinct().collect())
+    if not langs:
+        return Model([], np.zeros(0), docs.limit(0), docs.limit(0))
+    counts = train.mapInArrow(_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = common.written(counts, "language-words")
-    sizes = {r.lang: (r.n, r.kinds) for r in counts.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()}
-    seen = [r.lang for r in train.select("lang").distinct().collect()]
-    langs = sorted(seen)
-    totals = np.array([sizes.get(x, (0, 0))[0] for x in langs], np.float64)
-    short = counts.filter(F.length("word") <= LONG_WORD)
-    both = common.written(short.groupBy("word").agg(F.sum("n").alias("n")), "all-words")
-    kept = both.filter(F.col("n") >= _at_most(both, WORDS)).select("word")
-    kinds = both.count()
-    words = _logs(short.join(F.broadcast(kept), "word").select("lang", "word", "n").toArrow(), langs, totals, kinds)
-    # N-grams of distinct words, so that unseen words are likened to rare ones; longer words than LONG_WORD are too rare to matter.
-    part = min(1.0, GRAM_WORDS / max(kinds, 1))
-    drawn = short.filter(F.pmod(F.xxhash64(F.lit(3), "word"), F.lit(1 << 20)) < int(part * (1 << 20)))
-    marked = drawn.select("lang", F.concat(F.lit("<"), "word", F.lit(">")).alias("m"))
-    places = marked.select("lang", "m", F.explode(F.sequence(F.lit(1), F.length("m"))).alias("i"))
-    grams = places.select("lang", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("m") - F.col("i") + 1)), lambda k: F.substring(F.col("m"), F.col("i"), k))).alias("word"))
-    grams = common.written(grams.groupBy("lang", "word").agg(F.count("*").alias("n")), "language-grams")
-    each = common.written(grams.groupBy("word").agg(F.sum("n").alias("n")), "all-grams")
-    known = each.filter(F.col("n") >= _at_most(each, GRAMS)).select("word")
-    logs: dict[str, np.ndarray] = {}
-    table = grams.join(F.broadcast(known), "word").select("lang", "word", "n")
-    for k in range(1, LONGEST + 1):
-        own = grams.filter(F.length("word") == k)
-        n = {r.lang: r.n for r in own.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-        logs |= _logs(table.filter(F.length("word") == k).toArrow(), langs, np.array([n.get(x, 0) for x in langs], np.float64), own.select("word").distinct().count())
-    return Model(langs, words, logs, totals)
+    sizes = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    totals = np.array([sizes.get(x, 0) for x in langs], np.float64)
+    prior = np.log((totals + SMOOTH) / (totals.sum() + SMOOTH * max(len(langs), 1)))
+    words = common.written(_by_item(counts, "word", langs), "language-word-counts")
+    kinds = words.count()
+    words = words.select("word", "n", _logs(F.col("c"), np.log(totals + SMOOTH * (kinds + 1)).tolist()).alias("v"))
+    # Each word once in a language, so that unseen words are likened to rare ones.
+    found = counts.select("lang", "word").mapInArrow(_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = common.written(_by_item(found, "gram", langs).drop("n"), "language-grams")
+    sums = [F.sum(F.col("c")[i]).alias(f"s{i}") for i in range(len(langs))]
+    by_length = {r.k: r for r in grams.groupBy(F.length("gram").alias("k")).agg(F.count("*").alias("kinds"), *sums).collect()}  # a row a length
+    logs = F.array().cast("array<double>")
+    for k, r in by_length.items():
+        least = [float(np.log(r[f"s{i}"] + SMOOTH * (r.kinds + 1))) for i in range(len(langs))]
+        logs = F.when(F.length("gram") == k, _logs(F.col("c"), least)).otherwise(logs)
+    return Model(langs, prior, words, grams.select("gram", logs.alias("v")))
+
+
+def head_of(words: DataFrame) -> pa.Table:
+    """(word, v) of at most ``HEAD`` words, the most frequent, whole steps of a sixteenth of a doubling."""
+    step = F.floor(F.log2("n") * 16)
+    total, least = 0, None
+    for r in sorted(words.groupBy(step.alias("s")).agg(F.count("*").alias("c")).collect(), reverse=True):  # under a thousand rows
+        total += r.c
+        if total > HEAD:
+            break
+        least = r.s
+    return words.filter(step >= least if least is not None else F.lit(False)).select("word", "v").toArrow()
+
+
+def unseen(words: DataFrame, grams: DataFrame, k: int) -> DataFrame:
+    """(word, v) for distinct ``words`` (word): the mean over the longest n-grams of a word that are known; none where no n-gram is."""
+    places = words.select("word", F.concat(F.lit("<"), "word", F.lit(">")).alias("m"))
+    each = F.expr(f"flatten(transform(sequence(1, least({LONGEST}, length(m))), k -> transform(sequence(1, length(m) - k + 1), i -> substring(m, i, k))))")
+    pairs = places.select("word", F.explode(each).alias("gram"))
+    found = pairs.join(grams, "gram").groupBy("word", F.length("gram").alias("k")).agg(F.array(*[F.avg(F.col("v")[i]) for i in range(k)]).alias("v"))
+    return found.groupBy("word").agg(F.max_by("v", "k").alias("v"))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score) for every row of ``docs`` from its whole text alone; ``und`` and 0 where it is null or has no letter."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    """(doc_id, held_out, lang_pred, score) for every row of ``docs``, read from files, from its whole text alone.
+
+    ``score`` is the language's share of the likelihood; of equal ones the first
+    by code point stands. ``und`` and 0 where the text is null or has no letter,
+    or nothing was learned.
+    """
+    spark, k = docs.sparkSession, len(model.langs)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if not k:
+        return docs.select("doc_id", held_out().alias("held_out"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    top = head_of(model.words)
+    vectors = np.array(top.column("v").to_pylist(), np.float64).reshape(top.num_rows, k)
+    held = spark.sparkContext.broadcast((top.column("word").to_pylist(), vectors, model.prior))
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("letter", pa.bool_()), ("known", pa.list_(pa.float64())), ("word", pa.string()), ("tf", pa.int64())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, vectors, prior = held.value
+        index = {w: i for i, w in enumerate(names)}
         for batch in batches:
-            got = [held.value.predict(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(read, "doc_id long, lang_pred string, score double")
+            texts, rest = [], []
+
+            def sent() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*texts, *rest, strict=True), schema, strict=True)], schema=schema)
+
+            for row, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                words = words_of(text := text.as_py() or "")
+                at = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
+                score = prior + vectors[at[at >= 0]].sum(axis=0)
+                texts.append((row, doc_id, next(filter(str.isalpha, text), None) is not None, score.tolist(), None, None))
+                rest += [(row, None, None, None, w, n) for w, n in Counter(words[i] for i in np.flatnonzero(at < 0).tolist()).items()]
+                if len(rest) > SENT:
+                    yield sent()
+                    texts.clear()
+                    rest.clear()
+            if texts or rest:
+                yield sent()
+
+    rows = common.numbered(docs, "row").select("row", "doc_id", "text")
+    both = common.written(rows.mapInArrow(read, "row long, doc_id long, letter boolean, known array<double>, word string, tf long"), "language-texts")
+    texts, rest = both.filter("word IS NULL").select("row", "doc_id", "letter", "known"), both.filter("word IS NOT NULL").select("row", "word", "tf")
+    table = model.words.select("word", "v")
+    missing = common.written(rest.select("word").distinct().join(table, "word", "left_anti"), "unseen-words")
+    table = table.unionByName(common.written(unseen(missing, model.grams, k), "unseen-scores"))
+    more = rest.join(table, "word").groupBy("row").agg(*[F.sum(F.col("tf") * F.col("v")[i]).alias(f"_s{i}") for i in range(k)])
+    sums = F.array(*[F.col("known")[i] + F.coalesce(F.col(f"_s{i}"), F.lit(0.0)) for i in range(k)]).cast("array<double>")
+    out = texts.join(more, "row", "left").select("doc_id", "letter", sums.alias("_v")).withColumn("_most", F.array_max("_v"))
+    share = 1 / F.aggregate("_v", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_most")))
+    told = F.col("letter") & F.col("_most").isNotNull()
+    named = F.element_at(F.array(*map(F.lit, model.langs)).cast("array<string>"), F.array_position("_v", F.col("_most")).cast("int"))
+    return out.select("doc_id", held_out().alias("held_out"), F.when(told, named).otherwise(UNKNOWN).alias("lang_pred"), F.when(told, share).otherwise(0.0).alias("score"))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each row of ``documents``. A null id counts as empty text for the fold; an empty table gives an empty result."""
+    """A row for each row of ``documents``, repeated ones too.
+
+    A null id counts as empty text for the fold; null and empty texts are
+    ``und``; a text of any length is read whole; a language whose training texts
+    hold no letter is known by name alone; an empty table gives an empty result;
+    other columns are not read.
+    """
     docs = common.documents(spark, sf_dir)
-    model = fit(docs.filter(~held_out()))
-    return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return predict(docs, fit(docs.filter(~held_out())))
