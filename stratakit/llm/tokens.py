@@ -17,6 +17,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -72,25 +73,33 @@ class EliasFano:
         at += samples.nbytes
         return cls(n, low_bits, data[at + high :], data[at : at + high], samples)
 
+    def _places(self, k: int) -> np.ndarray:
+        """Where the ones of the k-th run of ``SAMPLE`` stand."""
+        first = int(self.samples[k])
+        last = int(self.samples[k + 1]) if k + 1 < len(self.samples) else 8 * len(self.high)
+        bits = np.unpackbits(np.frombuffer(self.high, np.uint8, -(-last // 8) - first // 8, first // 8), bitorder="little")
+        ones = np.flatnonzero(bits) + (first - first % 8)
+        return ones[ones >= first][: min(self.SAMPLE, self.n - k * self.SAMPLE)]
+
+    def run(self, k: int) -> np.ndarray:
+        """The k-th ``SAMPLE`` values, selected from the run of ones that the samples point to; nothing else is decoded."""
+        ones, first = self._places(k), k * self.SAMPLE
+        out = (ones - np.arange(first, first + len(ones))) << self.low_bits
+        if self.low_bits:
+            start, end = first * self.low_bits, (first + len(ones)) * self.low_bits
+            bits = np.unpackbits(np.frombuffer(self.low, np.uint8, -(-end // 8) - start // 8, start // 8), bitorder="little")
+            low = bits[start % 8 : start % 8 + end - start].reshape(-1, self.low_bits).astype(np.int64)
+            out |= low @ (np.int64(1) << np.arange(self.low_bits, dtype=np.int64))
+        return out
+
     def select(self, i: int) -> int:
-        """The i-th value, read from one run of at most ``SAMPLE`` ones."""
-        first = int(self.samples[i // self.SAMPLE])
-        last = int(self.samples[i // self.SAMPLE + 1]) if i // self.SAMPLE + 1 < len(self.samples) else 8 * len(self.high)
-        bits = np.unpackbits(np.frombuffer(self.high, np.uint8, last // 8 + 1 - first // 8 if last % 8 else last // 8 - first // 8, first // 8), bitorder="little")
-        one = first - first % 8 + int(np.flatnonzero(bits)[i % self.SAMPLE + int(bits[: first % 8].sum())])
-        low = 0
-        for b in range(self.low_bits):
-            at = i * self.low_bits + b
-            low |= (self.low[at >> 3] >> (at & 7) & 1) << b
-        return (one - i) << self.low_bits | low
-
-    def values(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
-        out = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
-        low = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-        for b in range(self.low_bits):
-            out |= low[:, b].astype(np.uint64) << np.uint64(b)
-        return out.astype(np.int64)
+        """The i-th value."""
+        return int(self.run(i // self.SAMPLE)[i % self.SAMPLE])
+
+    def cursor(self) -> Iterator[int]:
+        """All values in order, a run at a time."""
+        for k in range(len(self.samples)):
+            yield from self.run(k).tolist()
 
 
 class Encoder:
@@ -100,18 +109,18 @@ class Encoder:
     space or line feed between two that are not white space. For such a
     vocabulary a text is parted there, the library encodes each word that a
     worker doesn't remember once, with and without the space before it, and the
-    ids are put together again; the result equals that of the whole text.
-    Strings of special tokens in a text are ordinary text.
+    ids are put together again; the result equals that of the whole text. A text
+    that holds the string of an added token is encoded in one piece.
     """
 
     CUT = re.compile(r"(?<=\S) (?=\S)")
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         feed = self._ids("\n")
         self.parted = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and len(feed) == 1
@@ -145,7 +154,7 @@ class Encoder:
         return young
 
     def encode(self, text: str) -> bytes:
-        if not self.parted:
+        if not self.parted or any(x in text for x in self.added):
             return self._ids(text).tobytes()
         words = text.split()
         gaps = len(words) - 1
@@ -189,18 +198,25 @@ def shard_bytes(doc_ids: list[int | None], docs: list[bytes], kind: str) -> byte
     return b"".join([head, struct.pack("<Q", len(bounds)), bounds, struct.pack("<Q", len(ids)), ids, *docs])
 
 
-def read_shard(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """Document ids, boundaries and the id array of a shard."""
+def read_shard(data: bytes) -> tuple[int, int, EliasFano, EliasFano, np.ndarray]:
+    """Of a shard: how many ids are null, the least id, the others above it, the boundaries, and the id array."""
     magic, width, nulls, n_ids, least = HEAD.unpack_from(data)
     if magic != MAGIC:
         raise ValueError("not a token shard")
     at, found = HEAD.size, []
     for _ in range(2):
         (n,) = struct.unpack_from("<Q", data, at)
-        found.append(EliasFano.from_bytes(data[at + 8 : at + 8 + n]).values())
+        found.append(EliasFano.from_bytes(data[at + 8 : at + 8 + n]))
         at += 8 + n
-    ids = np.frombuffer(data, f"<u{width}", n_ids, at)
-    return [None] * nulls + (found[1] + least).tolist(), found[0], ids
+    return nulls, least, found[1], found[0], np.frombuffer(data, f"<u{width}", n_ids, at)
+
+
+def shard_documents(data: bytes) -> Iterator[tuple[int | None, int, np.ndarray]]:
+    """(doc_id, offset, ids) of a shard's documents in order; offsets are selected from the encoded boundaries, not decoded into a table."""
+    nulls, least, doc_ids, bounds, array = read_shard(data)
+    known = (least + i for i in doc_ids.cursor())
+    for k, (a, b) in enumerate(pairwise(bounds.cursor())):
+        yield None if k < nulls else next(known), a, array[a:b]
 
 
 def _shards(batches: Iterable[pa.RecordBatch], folder: str, path: str, most: int) -> Iterator[pa.RecordBatch]:
@@ -259,9 +275,8 @@ def _documents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             with files.opened(row["path"]) as f:
-                ids, bounds, array = read_shard(f.read())
-            sums = [zlib.crc32(array[a:b].astype("<u4").tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            columns = [pa.array(ids, pa.int64()), pa.array(bounds[:-1] + row["start"], pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(sums, pa.int64())]
+                got = [(doc_id, row["start"] + a, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for doc_id, a, ids in shard_documents(f.read())]
+            columns = [pa.array(c, pa.int64()) for c in zip(*got, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
@@ -271,11 +286,17 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     return manifest.select("path", "start").repartition(max(1, min(n, 10_000)), "path").mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
-    """Pipeline stage: write the shards of all rows (repeated ones too) and read them back."""
-    return read_tokens(write_tokens(docs, vocabulary or public_tokenizers.path(VOCABULARY)))
+@common.staged
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: write the shards of all rows (repeated ones too) and read them back.
+
+    Null ids come first; null and empty texts have the end id alone; a longer
+    text than a shard has one for itself; an empty table gives an empty result;
+    other columns than doc_id and text are not read.
+    """
+    return read_tokens(write_tokens(docs, public_tokenizers.path(VOCABULARY)))
 
 
 def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each row of ``documents``; null ids come first; a text that is null or empty has the end id alone."""
-    return stage(spark, common.documents(spark, sf_dir), sf_dir)
+    """A row for each row of ``documents``, repeated ones too; null ids come first; a text that is null or empty has the end id alone; a text of any length is encoded whole; an empty table gives an empty result."""
+    return read_tokens(write_tokens(common.documents(spark, sf_dir), public_tokenizers.path(VOCABULARY)))

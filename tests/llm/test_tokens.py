@@ -16,7 +16,6 @@ PATH = public_tokenizers.path(tokens.VOCABULARY)
 
 def expected(rows):
     whole = Tokenizer.from_file(PATH)
-    whole.encode_special_tokens = True
     out, start = [], 0
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = [*whole.encode(text or "", add_special_tokens=False).ids, 0]
@@ -62,7 +61,7 @@ def test_parts_equal_the_whole(text):
 def test_elias_fano_round_trip(values, shift):
     values = np.sort(np.array(values, np.int64) >> shift)
     held = tokens.EliasFano.from_bytes(tokens.EliasFano.of(values).to_bytes())
-    assert held.values().tolist() == values.tolist()
+    assert list(held.cursor()) == values.tolist()
     assert [held.select(i) for i in range(len(values))] == values.tolist()
 
 
@@ -72,6 +71,12 @@ def test_elias_fano_is_near_minimal():
     assert bits < 2.5 + np.log2(values[-1] / len(values))
 
 
+def test_added_tokens_are_as_the_library_gives_them():
+    whole = Tokenizer.from_file(PATH)
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x\n <|endoftext|>\n\ny<|endoftext|>z"):
+        assert np.frombuffer(tokens.encoder(PATH).encode(text), tokens.encoder(PATH).kind).tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_not_a_shard():
     with pytest.raises(ValueError):
         tokens.read_shard(b"x" * 100)
