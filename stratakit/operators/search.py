@@ -6,8 +6,11 @@ its own terms. Every ranked list has a total order, so results are stable.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,16 +82,52 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+#: Query vectors compared at a time, and vectors they are compared with at a time.
+QUERY_BLOCK, VECTOR_BLOCK = 2048, 1024
+
+
+def _nearest(ids: np.ndarray, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of ``found`` the k greatest, of equal ones those with the least id."""
+    order = np.argsort(ids, axis=1, kind="stable")
+    ids, found = np.take_along_axis(ids, order, 1), np.take_along_axis(found, order, 1)
+    best = np.argsort(-found, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(ids, best, 1), np.take_along_axis(found, best, 1)
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query, key, similarity, place): the k nearest of each query vector, exactly.
+    """(query, key, similarity, place): the k nearest of each query vector by cosine, exactly.
 
-    ``queries`` (query, q) is a bounded set, checked by the caller; it is
-    broadcast in one block, so every vector is read once and nothing but the k
-    best of each partition is shuffled.
+    Queries (query, q) go out in blocks of ``QUERY_BLOCK``; each block reads the
+    vectors once, and nothing but the k best of each partition is shuffled.
     """
-    pairs = vectors.select(key, vector).join(F.broadcast(queries)).select("query", key, cosine(F.col(vector), F.col("q")).alias("similarity"))
+    spark, n = vectors.sparkSession, queries.count()
+    blocks = max(1, -(-n // QUERY_BLOCK))
+    found = []
+    for b in range(blocks):
+        block = queries.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).select("query", F.col("q").cast("array<double>").alias("q")).toArrow()
+        asked = block.column("query").to_numpy()
+        matrix = np.array(block.column("q").to_pylist(), np.float64).reshape(len(asked), -1)
+        held = spark.sparkContext.broadcast((asked, matrix / np.linalg.norm(matrix, axis=1, keepdims=True)))
+
+        def compare(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            asked, matrix = held.value
+            best, scores = np.zeros((len(asked), 0), np.int64), np.zeros((len(asked), 0))
+            for batch in batches:
+                for at in range(0, batch.num_rows, VECTOR_BLOCK):
+                    part = batch.slice(at, VECTOR_BLOCK)
+                    own = np.array(part.column(1).to_pylist(), np.float64)
+                    # Equal vectors must score equally whatever their place in the block.
+                    score = np.round(matrix @ (own / np.linalg.norm(own, axis=1, keepdims=True)).T, 12)
+                    ids = np.broadcast_to(part.column(0).to_numpy(), score.shape)
+                    best, scores = _nearest(np.concatenate([best, ids], axis=1), np.concatenate([scores, score], axis=1), k)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, best.shape[1])), pa.array(best.ravel()), pa.array(scores.ravel())], names=["query", key, "similarity"])
+
+        if len(asked):
+            found.append(vectors.select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias(vector)).mapInArrow(compare, f"query long, {key} long, similarity double"))
+    if not found:
+        return spark.createDataFrame([], f"query long, {key} long, similarity double, place int")
     order = Window.partitionBy("query").orderBy(F.desc("similarity"), key)
-    return pairs.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+    return reduce(DataFrame.unionByName, found).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
 
 def fuse(lists: list[tuple[DataFrame, float]], key: str = "doc_id") -> DataFrame:

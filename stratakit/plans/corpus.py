@@ -149,27 +149,45 @@ def dup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.join(rows.groupBy("source", "head").agg(F.count("*").alias("n")), ["source", "head"]).select("doc_id", "n")
 
 
-@query(f"""WITH w AS (SELECT doc_id, {TOKENS_SQL} AS t FROM documents),
-s AS (SELECT DISTINCT doc_id, array_to_string(t[i:i + 4], ' ') AS g FROM (SELECT doc_id, t, unnest(range(1, greatest(1, len(t) - 4) + 1)) AS i FROM w) WHERE len(t) > 0),
-few AS (SELECT g FROM s GROUP BY g HAVING count(*) BETWEEN 2 AND 50), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-p AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y USING (g) JOIN few USING (g) WHERE x.doc_id < y.doc_id),
-c AS (SELECT a, b, count(*) AS n_both FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b AND x.g = y.g GROUP BY a, b)
-SELECT a, b, round(n_both / (x.n + y.n - n_both), 6) AS jaccard FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE n_both / (x.n + y.n - n_both) >= 0.1""")
+_SHINGLES_SQL = f"""w AS (SELECT doc_id, {TOKENS_SQL} AS t FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(t[i:i + 4], ' ') AS g FROM (SELECT doc_id, t, unnest(range(1, greatest(1, len(t) - 4) + 1)) AS i FROM w) WHERE len(t) > 0)"""
+_PASSAGES_SQL = rf"s AS (SELECT DISTINCT doc_id, sha1(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS g FROM {WINDOWS_SQL})"
+_CLASSES_SQL = """k AS (SELECT doc_id, md5(string_agg(g, '|' ORDER BY g)) AS k, count(*) AS n FROM s GROUP BY doc_id), c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS class_id, n FROM k)"""
+_PAIRS_SQL = """f AS (SELECT s.doc_id, g, n FROM s JOIN c USING (doc_id) WHERE doc_id = class_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) / (any_value(x.n) + any_value(y.n) - count(*)) AS j FROM f x JOIN f y USING (g) WHERE x.doc_id < y.doc_id GROUP BY ALL)"""
+
+
+def _passage_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages of each document as hashes of their text with white space folded."""
+    hashed = F.xxhash64(F.trim(F.regexp_replace("text", r"\s+", " ")))
+    return D.chunks(_docs(spark, sf_dir)).groupBy("doc_id").agg(F.array_sort(F.collect_set(hashed)).alias("s"))
+
+
+def _shingle_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", U.shingle_hashes(F.col("text")).alias("s"))
+
+
+@query(f"WITH {_SHINGLES_SQL}, {_CLASSES_SQL}, {_PAIRS_SQL} SELECT a, b, round(j, 6) AS jaccard FROM p WHERE j >= 0.1")
 def dup_shingle_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = _docs(spark, sf_dir).select("doc_id", F.explode(U.shingles(F.col("text"))).alias("g"))
-    return U.overlap_pairs(sets, "doc_id", "g", 0.1, 50).withColumn("jaccard", F.round("jaccard", 6))
+    """Pairs of classes of equal shingle sets, each named by its least document."""
+    return U.class_pairs(_shingle_sets(spark, sf_dir), "doc_id", "s", 0.1).withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query(f"WITH {_SHINGLES_SQL}, {_CLASSES_SQL} SELECT doc_id, class_id FROM c")
+def dup_shingle_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of each document with a shingle: members of the pairs' classes."""
+    return U.set_classes(_shingle_sets(spark, sf_dir), "doc_id", "s").select("doc_id", F.col("class").alias("class_id"))
 
 
-@query(f"""WITH s AS (SELECT DISTINCT doc_id, sha1(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS h FROM {WINDOWS_SQL}), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-few AS (SELECT h FROM s GROUP BY h HAVING count(*) BETWEEN 2 AND 50),
-c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n_both FROM s x JOIN s y USING (h) WHERE x.doc_id < y.doc_id GROUP BY ALL),
-p AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y USING (h) JOIN few USING (h) WHERE x.doc_id < y.doc_id)
-SELECT a, b, round(n_both / (x.n + y.n - n_both), 6) AS jaccard FROM c JOIN p USING (a, b) JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE n_both / (x.n + y.n - n_both) >= 0.9""")
+@query(f"WITH {_PASSAGES_SQL}, {_CLASSES_SQL}, {_PAIRS_SQL} SELECT a, b, round(j, 6) AS jaccard FROM p WHERE j >= 0.9")
 def dup_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose sets of passage hashes are alike to 0.9."""
-    passages = D.chunks(_docs(spark, sf_dir))
-    sets = passages.select("doc_id", F.sha1(F.trim(F.regexp_replace("text", r"\s+", " "))).alias("h"))
-    return U.overlap_pairs(sets, "doc_id", "h", 0.9, 50).withColumn("jaccard", F.round("jaccard", 6))
+    """Classes of documents whose sets of passage hashes are alike to 0.9."""
+    return U.class_pairs(_passage_sets(spark, sf_dir), "doc_id", "s", 0.9).withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query(f"WITH {_PASSAGES_SQL}, {_CLASSES_SQL} SELECT doc_id, class_id FROM c")
+def dup_chunk_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return U.set_classes(_passage_sets(spark, sf_dir), "doc_id", "s").select("doc_id", F.col("class").alias("class_id"))
 
 
 @query(f"""WITH w AS (SELECT doc_id, substr(text, 1, 14) AS title, {TOKENS_SQL} AS t FROM documents),

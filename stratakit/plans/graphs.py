@@ -154,10 +154,10 @@ def graph_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _part_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A deeper tree for the rules: part p is within part p // 3."""
-    return table(spark, sf_dir, "part").filter("p_partkey > 0 AND p_partkey < 300").select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 3).alias("dst"))
+    return table(spark, sf_dir, "part").filter("p_partkey > 0").select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 3).alias("dst"))
 
 
-_PART_OF_SQL = "e AS (SELECT p_partkey AS src, p_partkey // 3 AS dst FROM part WHERE p_partkey > 0 AND p_partkey < 300)"
+_PART_OF_SQL = "e AS (SELECT p_partkey AS src, p_partkey // 3 AS dst FROM part WHERE p_partkey > 0)"
 
 
 @query(f"WITH RECURSIVE {_PART_OF_SQL}, r AS (SELECT src, dst, 1 AS depth FROM e UNION ALL SELECT r.src, e.dst, depth + 1 FROM r JOIN e ON r.dst = e.src WHERE depth < 6 AND r.src <> e.dst) SELECT src, dst, min(depth)::BIGINT AS depth FROM r GROUP BY src, dst HAVING min(depth) > 1")
@@ -182,17 +182,18 @@ def rules_in_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.in_step(planned, table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")), ["k"])
 
 
-@query(f"""WITH {NODES_SQL}, b AS (SELECT src, dst, arg_min(id, (confidence <> 'EXTRACTED')::INT * 1000000000 + id) AS id FROM edges WHERE rel = 'buys_in' AND dst < 3 GROUP BY src, dst),
+@query(f"""WITH {NODES_SQL}, b AS (SELECT src, dst, arg_min(id, (confidence <> 'EXTRACTED')::INT * 1000000000 + id) AS id FROM edges WHERE rel = 'buys_in' GROUP BY src, dst),
 m AS (SELECT src, id FROM b QUALIFY row_number() OVER (PARTITION BY src ORDER BY id) <= 7), p AS (SELECT x.src, x.id AS a, y.id AS b FROM m x JOIN m y USING (src) WHERE x.id < y.id)
 SELECT src, a, b FROM p QUALIFY row_number() OVER (PARTITION BY src ORDER BY a, b) <= 6""")
 def rules_functional_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.functional_conflicts(edges(spark, sf_dir).filter("rel = 'buys_in' AND dst < 3"))
+    return I.functional_conflicts(edges(spark, sf_dir).filter("rel = 'buys_in'"))
 
 
-@query("""WITH RECURSIVE l AS (SELECT p_partkey AS a, p_partkey * 2 % 97 AS b FROM part WHERE p_partkey < 97), s AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+@query("""WITH RECURSIVE l AS (SELECT p_partkey AS a, p_partkey - (p_partkey % 10 > 0)::INT AS b FROM part), s AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r AS (SELECT a AS node, a AS root FROM s UNION SELECT s.b, r.root FROM r JOIN s ON s.a = r.node) SELECT node, min(root) AS root FROM r GROUP BY node""")
 def rules_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.components(table(spark, sf_dir, "part").filter("p_partkey < 97").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") * 2 % 97).alias("b")))
+    """Chains of ten parts."""
+    return I.components(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") - (F.col("p_partkey") % 10 > 0).cast("int")).alias("b")))
 
 
 @query("""WITH e AS (SELECT p_partkey AS id, p_name AS name, p_brand AS type, p_size AS degree, trim(regexp_replace(lower(p_name), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS k FROM part),
@@ -214,7 +215,7 @@ def resolve_dominant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CO_SQL = """r AS (SELECT DISTINCT l_orderkey AS doc, l_suppkey AS entity FROM lineitem), k AS (SELECT r.* FROM r JOIN (SELECT entity FROM r GROUP BY entity HAVING count(*) >= 2) USING (entity)),
-m AS (SELECT doc, count(*) AS m FROM k GROUP BY doc HAVING count(*) BETWEEN 2 AND 60), w AS (SELECT x.entity AS a, y.entity AS b, sum(1 / (m - 1)) AS weight FROM k x JOIN k y USING (doc) JOIN m USING (doc) WHERE x.entity < y.entity GROUP BY ALL)"""
+m AS (SELECT doc, count(*) AS m FROM k GROUP BY doc HAVING count(*) > 1), w AS (SELECT x.entity AS a, y.entity AS b, sum(1 / (m - 1)) AS weight FROM k x JOIN k y USING (doc) JOIN m USING (doc) WHERE x.entity < y.entity GROUP BY ALL)"""
 
 
 def _co(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,7 +229,7 @@ def community_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def community_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.regions(_co(spark, sf_dir).filter("weight > 1"))
+    return I.regions(_co(spark, sf_dir))
 
 
 @query(f"WITH {_CO_SQL} SELECT least(a % 7, b % 7) AS a, greatest(a % 7, b % 7) AS b, count(*) AS links, round(sum(weight), 5) AS weight FROM w WHERE a % 7 <> b % 7 GROUP BY ALL")

@@ -90,9 +90,9 @@ def rel_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").rollup("c_nationkey", "c_mktsegment").agg(F.grouping_id().alias("level"), F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
 
 
-@query("SELECT p_brand, p_size, count(*) AS n FROM part WHERE p_size <= 5 GROUP BY CUBE (p_brand, p_size)")
+@query("SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY CUBE (p_brand, p_size)")
 def rel_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").filter("p_size <= 5").cube("p_brand", "p_size").agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "part").cube("p_brand", "p_size").agg(F.count("*").alias("n"))
 
 
 @query("SELECT o_orderstatus, NULL AS o_orderpriority, count(*) AS n FROM orders GROUP BY ALL UNION ALL SELECT NULL, o_orderpriority, count(*) FROM orders GROUP BY ALL")
@@ -175,9 +175,9 @@ def rel_json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy((k % 10).alias("bucket")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("SELECT vec_id, i - 1 AS i, round(embedding[i]::DOUBLE, 5) AS v FROM embeddings, range(1, 4) t(i) WHERE vec_id < 100")
+@query("SELECT vec_id, i - 1 AS i, round(embedding[i]::DOUBLE, 5) AS v FROM embeddings, range(1, 65) t(i)")
 def rel_unnest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").filter("vec_id < 100").select("vec_id", F.posexplode(F.slice("embedding", 1, 3)).alias("i", "v")).select("vec_id", F.col("i").cast("long").alias("i"), F.round(F.col("v").cast("double"), 5).alias("v"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v")).select("vec_id", F.col("i").cast("long").alias("i"), F.round(F.col("v").cast("double"), 5).alias("v"))
 
 
 @query("SELECT p_partkey, (SELECT count(*) FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 40) AS n FROM part")

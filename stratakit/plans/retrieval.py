@@ -23,16 +23,16 @@ bm AS (SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf +
 #: Documents stand for vectors by id, an explicitly synthetic pairing: vector v belongs to document v.
 KNN_SQL = """
 dot AS (SELECT b.vec_id, a.vec_id AS query, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS similarity
-  FROM embeddings a, embeddings b WHERE a.vec_id < 3)"""
+  FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)"""
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def _queries(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    """The first n vectors as a query block."""
-    return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") < n).select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector asks."""
+    return table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
 
 
 @query(f"WITH {BM25_SQL} SELECT doc_id, round(score, 5) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT 20")
@@ -102,7 +102,7 @@ def search_inflections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {KNN_SQL} SELECT query, vec_id, round(similarity, 5) AS similarity, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id) AS place FROM dot) WHERE place <= 10")
 def search_knn_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = S.knn(table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir, 3), 10)
+    out = S.knn(table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir), 10)
     return out.select("query", "vec_id", F.round("similarity", 5).alias("similarity"), F.col("place").cast("long").alias("place"))
 
 
@@ -129,7 +129,7 @@ def search_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = S.places(S.bm25(_docs(spark, sf_dir), TERMS), S.RRF_DEPTH)
-    near = S.knn(table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir, 1), S.RRF_DEPTH).select(F.col("vec_id").alias("doc_id"), "place")
+    near = S.knn(table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir).filter("query = 0"), S.RRF_DEPTH).select(F.col("vec_id").alias("doc_id"), "place")
     fused = S.fuse([(words, 1.0), (near, S.field_weight(2))])
     order = Window.orderBy(F.desc(F.round("score", 9)), "first_list", "first_place", "doc_id")  # at most two lists' depth of rows
     return fused.withColumn("place", F.row_number().over(order).cast("long"))
