@@ -1,7 +1,7 @@
 """Keyword and vector search: inverted index, BM25, exact nearest neighbours, rank fusion.
 
-Postings are a table (term, doc_id, tf); a query touches only the postings of
-its own terms. Every ranked list has a total order, so results are stable.
+A stored index has postings ranged by term; a query reads only those of its own
+terms. Every ranked list has a total order, so results are stable.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratakit.functions import text as T
+from stratakit.sources.scratch import settled
 
 # Fixed values of the search: BM25's parameters and rank fusion's constant.
 K1, B = 1.2, 0.75
@@ -47,6 +48,40 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
+def stored_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Postings (term, key, tf, dl) and the one row of statistics (_n, _avg) of texts read from files, as tables in the shared folder.
+
+    Postings are ranged by term, so a query reads only the row groups of its own
+    terms. They are built once in an application for a set of files with their
+    sizes and times; files that change are indexed anew.
+    """
+    spark = docs.sparkSession
+    stamp = docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    stamp = stamp.agg(F.count("*"), F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)"))).first()
+    mark = (spark.sparkContext.applicationId, key, text, *stamp)
+    if mark not in _indexes:
+        words = settled(docs.select(key, T.tokens(F.col(text)).alias("_t")), "tokenised")
+        index = words.select(key, F.size("_t").alias("dl"), F.explode("_t").alias("term")).groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
+        index = settled(index.repartitionByRange("term").sortWithinPartitions("term"), "postings")
+        _indexes[mark] = index, settled(words.agg(F.count("*").alias("_n"), F.avg(F.size("_t")).alias("_avg")), "index-statistics")
+    return _indexes[mark]
+
+
+_indexes: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+
+
+def bm25_stored(index: tuple[DataFrame, DataFrame], terms: list[str], key: str = "doc_id", all_terms: bool = False) -> DataFrame:
+    """As ``bm25``, from a stored index: only the postings of the terms are read."""
+    postings, stats = index
+    words = sorted(set(terms))
+    held = postings.filter(F.col("term").isin(words))
+    n, mean = stats.first()
+    df = held.groupBy("term").agg(F.count("*").alias("df"))  # a row a term of the query
+    parts = idf(F.lit(n), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))
+    out = held.join(F.broadcast(df), "term").groupBy(key).agg(F.sum(parts).alias("score"), F.count("*").alias("n_terms"))
+    return out.filter(F.col("n_terms") == len(words)) if all_terms else out
+
+
 def bm25(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text", all_terms: bool = False) -> DataFrame:
     """(key, score, n_terms) of every text that holds a term (all of them with ``all_terms``).
 

@@ -37,12 +37,12 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BM25_SQL} SELECT doc_id, round(score, 5) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT 20")
 def search_bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.top(S.bm25(_docs(spark, sf_dir), TERMS), 20).select("doc_id", F.round("score", 5).alias("score"))
+    return S.top(S.bm25_stored(S.stored_index(_docs(spark, sf_dir)), TERMS), 20).select("doc_id", F.round("score", 5).alias("score"))
 
 
 @query(f"WITH {BM25_SQL} SELECT doc_id, round(score, 5) AS score FROM bm WHERE n_terms = {len(TERMS)}")
 def search_bm25_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.bm25(_docs(spark, sf_dir), TERMS, all_terms=True).select("doc_id", F.round("score", 5).alias("score"))
+    return S.bm25_stored(S.stored_index(_docs(spark, sf_dir)), TERMS, all_terms=True).select("doc_id", F.round("score", 5).alias("score"))
 
 
 @query(f"""WITH {BM25_SQL.replace("FROM documents", "FROM documents WHERE lang = 'en' AND source IN ('src0', 'src1')")} SELECT doc_id, round(score, 5) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT 20""")
@@ -128,7 +128,7 @@ def search_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = S.places(S.bm25(_docs(spark, sf_dir), TERMS), S.RRF_DEPTH)
+    words = S.places(S.bm25_stored(S.stored_index(_docs(spark, sf_dir)), TERMS), S.RRF_DEPTH)
     near = S.knn(table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir).filter("query = 0"), S.RRF_DEPTH).select(F.col("vec_id").alias("doc_id"), "place")
     fused = S.fuse([(words, 1.0), (near, S.field_weight(2))])
     order = Window.orderBy(F.desc(F.round("score", 9)), "first_list", "first_place", "doc_id")  # at most two lists' depth of rows
