@@ -85,6 +85,16 @@ def arxiv_id(value: Column) -> Column:
     return F.nullif(F.regexp_extract(value, r"(?i)(?:arxiv[:./ ]*(?:abs/|pdf/)?)?\b(\d{4}\.\d{4,5})(?:v\d+)?\b", 1), F.lit(""))
 
 
+def arxiv_of_url(url: Column) -> Column:
+    """The new-style arXiv id that an address of a paper names, without version; null if it names none."""
+    return F.nullif(F.regexp_extract(url, r"(?i)arxiv\.org/(?:abs|pdf)/(\d{4}\.\d{4,5})", 1), F.lit(""))
+
+
+def doi_of_url(url: Column) -> Column:
+    """The DOI that a resolver's address names; null if it is none."""
+    return F.nullif(F.regexp_extract(url, r"(?i)^https?://(?:dx\.)?doi\.org/(10\.\S+)$", 1), F.lit(""))
+
+
 def arxiv_month(arxiv: Column) -> Column:
     """The month that a new-style arXiv id was given in, as YYYY-MM."""
     month = F.substring(arxiv, 3, 2)
