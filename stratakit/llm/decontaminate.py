@@ -262,6 +262,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@common.staged
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a benchmark item go."""
     return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -40,23 +40,31 @@ def targets(rows: DataFrame) -> DataFrame:
 
     Sources in code point order, null last, weigh ``WEIGHTS`` in turn and share
     ``SHARE`` of all sizes; a target stops at ``CAP`` times its source's size,
-    and the excess is shared by weight among the rest until none is above. The
-    windows run over one row a source.
+    and the excess is shared by weight among the rest until none is above.
+    Places come from a range partitioning of the sources, the rate of sharing
+    from one sum over them in each round, so no task holds all sources.
     """
-    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
-    sources = common.written(sources, "source-sizes")
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), F.pmod(place, F.lit(len(WEIGHTS))) + 1)
-    ranked = sources.withColumn("_w", weight.cast("double")).withColumn("_cap", CAP * F.col("source_size"))
-    order = Window.orderBy(F.col("_cap") / F.col("_w"), F.col("source").asc_nulls_last())
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    left = SHARE * F.sum("source_size").over(everything) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))
-    ranked = ranked.withColumn("_rate", left / F.sum("_w").over(after)).withColumn("_order", F.row_number().over(order))
-    open_at = F.when(F.col("_rate") * F.col("_w") <= F.col("_cap"), F.col("_order"))
-    ranked = ranked.withColumn("_rate", F.coalesce(F.min_by("_rate", open_at).over(everything), F.lit(0.0)))
-    target = F.least(F.col("_cap"), F.col("_rate") * F.col("_w"))
-    return common.written(ranked.select("source", "source_size", "docs", target.alias("target")), "source-targets")
+    with common.scope():
+        sources = common.written(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), "source-sizes")
+        order = [F.col("source").asc_nulls_last()]
+        dealt = common.numbered(sources.repartitionByRange(*order).sortWithinPartitions(*order), "_at")
+        dealt = common.written(dealt.withColumn("_part", F.shiftright("_at", common.PLACE_BITS)), "ranked-sources")
+        parts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+        before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
+        starts = common.written(parts.select("_part", before.alias("_before")), "source-starts")
+        place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << common.PLACE_BITS) - 1))
+        weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod(place, F.lit(len(WEIGHTS))) + 1).cast("int"))
+        ranked = dealt.join(starts, "_part").select("source", "source_size", "docs", weight.cast("double").alias("_w"), (CAP * F.col("source_size")).alias("_cap"))
+        ranked = common.written(ranked, "weighed-sources")
+        share, rate, capped = SHARE * (ranked.agg(F.sum("source_size")).first()[0] or 0), 0.0, -1
+        while True:
+            above = F.col("_w") * rate > F.col("_cap")
+            n, full, rest = ranked.agg(F.count_if(above), F.coalesce(F.sum(F.when(above, F.col("_cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~above, F.col("_w"))), F.lit(0.0))).first()
+            if n == capped or not rest:
+                break
+            capped, rate = n, (share - full) / rest
+        target = F.least(F.col("_cap"), F.col("_w") * rate)
+        return common.written(ranked.select("source", "source_size", "docs", target.alias("target")), "source-targets", keep=True)
 
 
 def _fold(items: str) -> Column:
@@ -113,30 +121,43 @@ def rounded(items: DataFrame) -> DataFrame:
 
 
 def copies(rows: DataFrame) -> DataFrame:
-    """(row, source_size, target, copies) for written ``rows`` (doc_id, source, size, row with no two alike)."""
-    again = rows.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1")
-    again = common.written(again.select("doc_id", F.lit(True).alias("_again")), "repeated-ids")
-    placed = common.attach(rows, again, ["doc_id"], salt_by=["row"])
-    placed = common.attach(placed, targets(rows), ["source"], salt_by=["row"])
-    share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    placed = placed.withColumn("h", F.xxhash64("doc_id", F.when(F.col("_again"), F.col("row")))).withColumn("_base", F.floor(share)).withColumn("p", share - F.floor(share))
-    placed = common.written(placed.drop("_again"), "mix-rows")
-    items = placed.filter("size > 0 AND p > 0").select("source", "docs", "size", "row", "h", "p")
-    return placed.join(rounded(items), "row", "left").select("row", "doc_id", "size", "source_size", "target", (F.col("_base") + F.coalesce("up", F.lit(0))).cast("long").alias("copies"))
+    """(row, doc_id, size, source_size, target, copies) for written ``rows`` (doc_id, source, size, row with no two alike), a written table."""
+    with common.scope():
+        again = rows.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1")
+        again = common.written(again.select("doc_id", F.lit(True).alias("_again")), "repeated-ids")
+        placed = common.attach(rows, again, ["doc_id"], salt_by=["row"])
+        placed = common.attach(placed, targets(rows), ["source"], salt_by=["row"])
+        share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+        placed = placed.withColumn("h", F.xxhash64("doc_id", F.when(F.col("_again"), F.col("row")))).withColumn("_base", F.floor(share)).withColumn("p", share - F.floor(share))
+        placed = common.written(placed.drop("_again"), "mix-rows")
+        items = placed.filter("size > 0 AND p > 0").select("source", "docs", "size", "row", "h", "p")
+        out = placed.join(rounded(items), "row", "left")
+        out = out.select("row", "doc_id", "size", "source_size", "target", (F.col("_base") + F.coalesce("up", F.lit(0))).cast("long").alias("copies"))
+        return common.written(out, "mix-copies", keep=True)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each row of ``documents``; a null source is a source of its own, the last; texts without words are taken as 0 words."""
+    """A row for each row of ``documents``; a null source is a source of its own, the last; null and empty texts are taken as 0 words.
+
+    Texts of any length count whole; rows that repeat are rounded each by
+    itself; an empty table gives an empty result; other columns are not read.
+    """
     docs = common.documents(spark, sf_dir).select("doc_id", "source", n_words(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("row"))
     return copies(common.written(docs, "mix-sizes")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+@common.staged
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document as often as the mix takes it (0 to 2 times), all columns unchanged."""
+    """Pipeline stage: every document as often as the mix takes it (0 to 2 times), all columns unchanged.
+
+    ``docs`` is read from files, twice: for its sizes, then for the rows that are
+    taken. Texts without words go unless their source is taken whole; repeated
+    rows are rounded each by itself; an empty table gives an empty result; no
+    column name is reserved.
+    """
     names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
-    rows = docs.toDF(*names.values()).withColumn("row", F.monotonically_increasing_id()).withColumn("size", n_words(F.col(names["text"])))
-    rows = common.written(rows, "mix-documents")
-    taken = copies(rows.select(F.col(names["doc_id"]).alias("doc_id"), F.col(names["source"]).alias("source"), "size", "row"))
-    taken = taken.filter("copies > 0").select("row", "copies")
+    rows = common.numbered(docs.toDF(*names.values()), "row")
+    sizes = rows.select(F.col(names["doc_id"]).alias("doc_id"), F.col(names["source"]).alias("source"), n_words(F.col(names["text"])).alias("size"), "row")
+    taken = copies(common.written(sizes, "mix-sizes")).filter("copies > 0").select("row", "copies")
     out = rows.join(taken, "row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select(*names.values()).toDF(*docs.columns)

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratakit.llm import common
@@ -27,6 +27,8 @@ STEPS = 4
 TAIL = 1e-5
 MIN_ROWS = 60
 MIN_WORDS = 50
+#: Bins that quantiles are read from: of a statistic a unit, of a squared distance a doubling (above ``LEAST``).
+BINS, DISTANCE_BINS, LEAST = 256, 64, 2.0**-20
 #: Windows found again in a text up to which each window is looked up among them.
 FEW = 32
 #: Statistics and the standard deviation each is granted at least, so that a statistic that hardly varies rejects nothing by itself.
@@ -138,7 +140,7 @@ def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), *[F.expr(x) for x in sums])
 
 
-def with_cells(vectors: DataFrame) -> DataFrame:
+def with_cells(vectors: DataFrame, salt_by: list[str]) -> DataFrame:
     """Add the cell (language, source) each vector is fitted in; see the module's text for small ones. ``cell_rows`` counts distinct vectors."""
     rows = vectors.select("lang", "source", *NAMES).distinct()
     counts = common.written(rows.groupBy("lang", "source").agg(F.count("*").alias("_n")), "quality-counts")
@@ -148,31 +150,47 @@ def with_cells(vectors: DataFrame) -> DataFrame:
     level = F.when(own, F.lit(2)).when(pool, F.lit(1)).otherwise(F.lit(0))
     cells = cells.select("lang", "source", level.alias("_level"))
     cell = F.when(F.col("_level") == 2, F.to_json(F.struct("_level", "lang", "source"))).when(F.col("_level") == 1, F.to_json(F.struct("_level", "lang"))).otherwise(F.lit("{}"))
-    return common.attach(vectors, common.written(cells.withColumn("cell", cell).drop("_level"), "quality-cells"), ["lang", "source"], salt_by=NAMES[:1])
+    return common.attach(vectors, common.written(cells.withColumn("cell", cell).drop("_level"), "quality-cells"), ["lang", "source"], salt_by=salt_by)
+
+
+def _quantiles(binned: DataFrame, keys: list[str], shares: list[float]) -> DataFrame:
+    """The bins at which ``shares`` of each key's rows (keys, bin) are reached, as ``_q0``, ``_q1`` and so on.
+
+    Rows are counted by bin before and after the shuffle, so a key with most of
+    the rows is spread over its bins; what is ordered by key is a row a bin.
+    """
+    counts = binned.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
+    by_key = Window.partitionBy(*keys)
+    summed = counts.withColumn("_upto", F.sum("n").over(by_key.orderBy("bin"))).withColumn("_all", F.sum("n").over(by_key))
+    return summed.groupBy(*keys).agg(*[F.min(F.when(F.col("_upto") >= p * F.col("_all"), F.col("bin"))).alias(f"_q{i}") for i, p in enumerate(shares)])
 
 
 def fit(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
     """The MCD estimate of every cell with enough distinct vectors, as a written table with one row a cell.
 
     ``vectors`` has ``cell`` and the statistics. Work is a few passes over the
-    narrow table of distinct vectors; only sums and quantile sketches are shuffled.
+    narrow table of distinct vectors; only sums and counts by bin are shuffled.
     """
-    rows = vectors.select("cell", *NAMES).distinct()
-    rows = common.written(rows, "quality-vectors")
-    quartiles = rows.groupBy("cell").agg(F.count("*").alias("cell_rows"), *[F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(1000)).alias(f"q_{c}") for c in NAMES])
-    quartiles = common.written(quartiles.filter(F.col("cell_rows") >= MIN_ROWS), "quality-quartiles")
-    scaled = [F.pow((F.col(c) - F.col(f"q_{c}")[1]) / F.greatest((F.col(f"q_{c}")[2] - F.col(f"q_{c}")[0]) / 1.349, F.lit(FLOORS[c])), 2) for c in NAMES]
-    start = common.attach(rows, quartiles, ["cell"], salt_by=NAMES[:1], how="inner")
-    first = F.explode(F.array(F.struct(F.lit(0).alias("start"), sum(scaled, F.lit(0.0)).alias("d2")), F.struct(F.lit(1).alias("start"), F.greatest(*scaled).alias("d2"))))
-    measured = start.select("cell", *NAMES, first.alias("_s")).select("cell", *NAMES, "_s.start", "_s.d2")
-    keys, twice = ["cell", "start"], rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
-    for step in range(steps + 1):
-        cut = common.written(measured.groupBy(*keys).agg(F.percentile_approx("d2", F.lit(SUPPORT), F.lit(1000)).alias("_cut")), "quality-cut")
-        nearest = common.attach(measured, cut, keys, salt_by=NAMES[:1], how="inner").filter(F.col("d2") <= F.col("_cut"))
-        estimate = common.written(_estimate(_moments(nearest, keys), keys), f"quality-step{step}")
-        measured = common.attach(twice, estimate.drop("log_det"), keys, salt_by=NAMES[:1], how="inner").select(*keys, *NAMES, squared_distance().alias("d2"))
-    best = estimate.groupBy("cell").agg(F.min_by(F.struct("m", "w"), F.struct("log_det", "start")).alias("_e"))
-    return common.written(best.select("cell", "_e.*"), "quality-estimate")
+    with common.scope():
+        rows = common.written(vectors.select("cell", *NAMES).distinct(), "quality-vectors")
+        each = F.explode(F.array(*[F.struct(F.lit(i).alias("of"), F.round(F.col(c) * BINS).cast("long").alias("bin")) for i, c in enumerate(NAMES)])).alias("_b")
+        found = _quantiles(rows.select("cell", each).select("cell", "_b.of", "_b.bin"), ["cell", "of"], [0.25, 0.5, 0.75])
+        sides = [F.max(F.when(F.col("of") == i, F.array(*[F.col(f"_q{k}") / BINS for k in range(3)]))).alias(f"q_{c}") for i, c in enumerate(NAMES)]
+        many = rows.groupBy("cell").agg(F.count("*").alias("cell_rows")).filter(F.col("cell_rows") >= MIN_ROWS)
+        quartiles = common.written(many.join(found.groupBy("cell").agg(*sides), "cell"), "quality-quartiles")
+        scaled = [F.pow((F.col(c) - F.col(f"q_{c}")[1]) / F.greatest((F.col(f"q_{c}")[2] - F.col(f"q_{c}")[0]) / 1.349, F.lit(FLOORS[c])), 2) for c in NAMES]
+        start = common.attach(rows, quartiles, ["cell"], salt_by=NAMES[:1], how="inner")
+        first = F.explode(F.array(F.struct(F.lit(0).alias("start"), sum(scaled, F.lit(0.0)).alias("d2")), F.struct(F.lit(1).alias("start"), F.greatest(*scaled).alias("d2"))))
+        measured = start.select("cell", *NAMES, first.alias("_s")).select("cell", *NAMES, "_s.start", "_s.d2")
+        keys, twice = ["cell", "start"], rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
+        distance_bin = F.floor(F.log2(F.col("d2") + LEAST) * DISTANCE_BINS)
+        for step in range(steps + 1):
+            cut = common.written(_quantiles(measured.select(*keys, distance_bin.alias("bin")), keys, [SUPPORT]).withColumnRenamed("_q0", "_cut"), "quality-cut")
+            nearest = common.attach(measured, cut, keys, salt_by=NAMES[:1], how="inner").filter(distance_bin <= F.col("_cut"))
+            estimate = common.written(_estimate(_moments(nearest, keys), keys), f"quality-step{step}")
+            measured = common.attach(twice, estimate.drop("log_det"), keys, salt_by=NAMES[:1], how="inner").select(*keys, *NAMES, squared_distance().alias("d2"))
+        best = estimate.groupBy("cell").agg(F.min_by(F.struct("m", "w"), F.struct("log_det", "start")).alias("_e"))
+        return common.written(best.select("cell", "_e.*"), "quality-estimate", keep=True)
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
@@ -183,9 +201,10 @@ def _judged(docs: DataFrame, columns: list[str]) -> DataFrame:
     rows = docs.select(*[F.col(c).alias(f"_in{i}") for i, c in enumerate(columns)], "text", "lang", "source")
     rows = statistics(rows).drop("text")
     rows = common.written(rows.withColumns(vector()).withColumn("base_failed", base_failed()), "quality-rows")
-    rows = with_cells(rows)
+    salt_by = [*[f"_in{i}" for i, c in enumerate(columns) if c == "doc_id"], NAMES[0]]
+    rows = with_cells(rows, salt_by)
     estimate = fit(rows.filter(~F.col("base_failed")))
-    judged = common.attach(rows, estimate, ["cell"], salt_by=NAMES[:1]).withColumn("distance2", squared_distance())
+    judged = common.attach(rows, estimate, ["cell"], salt_by=salt_by).withColumn("distance2", squared_distance())
     outlier = F.coalesce(F.col("distance2") > chi_square(P, TAIL), F.lit(False))
     return judged.withColumn("kept", ~F.col("base_failed") & ~outlier)
 
@@ -201,10 +220,17 @@ def judge(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of ``documents``, by ``judge``: null and empty texts fail the base rule, a text of any length is read whole, rows that repeat are judged alike, an empty table gives an empty result."""
     return judge(common.documents(spark, sf_dir), ["doc_id"])
 
 
+@common.staged
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that the rules keep, all their columns unchanged."""
+    """Pipeline stage: the documents that the rules keep, all their columns unchanged.
+
+    Null and empty texts go (fewer words than the base rule asks for); null
+    languages and sources are cells of their own; repeated rows stay or go
+    together; an empty table gives an empty result; no column name is reserved.
+    """
     kept = _judged(docs, docs.columns).filter("kept")
     return kept.select(*[F.col(f"_in{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -149,6 +149,8 @@ def plan(marks: DataFrame) -> list[tuple[list[int], int]]:
 
 def links(marks: DataFrame, probes: list[tuple[list[int], int]]) -> DataFrame:
     """Links (a, b) that join all ``fp`` within ``DISTANCE`` bits into the same components."""
+    if DISTANCE != 2:
+        raise ValueError("crowded buckets are linked through neighbours at one bit, which holds for a distance of two")
     fp = F.col("fp")
     own, probed = [], []
     for i, (bits, t) in enumerate(probes):
@@ -176,12 +178,13 @@ def classes(rows: DataFrame, name: str = "doc_id") -> DataFrame:
 
     ``component_id`` is the least ``name`` in the component, null if all are null.
     """
-    marks = common.written(rows.groupBy("fp").agg(F.min(name).alias("_least"), F.count("*").alias("copies")), "fingerprints")
-    roots = graph.components(links(marks, plan(marks)))
-    placed = marks.join(roots, marks["fp"] == roots["node"], "left").select("fp", "_least", "copies", F.coalesce("root", "fp").alias("root"))
-    placed = common.written(placed, "placed")
-    least = placed.groupBy("root").agg(F.min("_least").alias("component_id"))
-    return common.written(placed.join(least, "root").select("fp", "root", "component_id", "copies"), "classes")
+    with common.scope():
+        marks = common.written(rows.groupBy("fp").agg(F.min(name).alias("_least"), F.count("*").alias("copies")), "fingerprints")
+        roots = graph.components(links(marks, plan(marks)))
+        placed = marks.join(roots, marks["fp"] == roots["node"], "left").select("fp", "_least", "copies", F.coalesce("root", "fp").alias("root"))
+        placed = common.written(placed, "placed")
+        least = common.written(placed.groupBy("root").agg(F.min("_least").alias("component_id")), "least-ids")
+        return common.written(placed.join(least, "root").select("fp", "root", "component_id", "copies"), "classes", keep=True)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,15 +194,24 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@common.staged
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component of near copies (``nearcopies``: five words, similarity 0.8) the row with the least doc_id stays (of equal rows, one; null ids come last), all columns unchanged."""
+    """Pipeline stage: of each component of near copies (``nearcopies``: five words, similarity 0.8) the row with the least doc_id stays, all columns unchanged.
+
+    ``docs`` is read from files, twice. Of equal rows one stays; null ids come
+    last; texts without a word are copies of each other; a text of any length is
+    read whole; an empty table gives an empty result; no column name is reserved.
+    The rows that stay are marked by their numbers: texts are not shuffled.
+    """
     names = [f"_c{i}" for i in range(len(docs.columns))]
-    rows = docs.toDF(*names).withColumn("_row", F.monotonically_increasing_id())
     at = {c: n for n, c in zip(names, docs.columns, strict=True)}
-    rows = common.written(nearcopies.with_sets(rows, at["text"]), "shingled")
-    roots = graph.components(nearcopies.links(rows, at["text"])).select(F.col("node").alias("_first"), "root")
-    firsts = rows.groupBy("_set").agg(F.min("_row").alias("_first")).join(roots, "_first", "left").select("_set", F.coalesce("root", "_first").alias("root"))
-    narrow = rows.select(F.col(at["doc_id"]).alias("doc_id"), "_row", "_set")
-    first = F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
-    kept = narrow.join(firsts, "_set").groupBy("root").agg(first.alias("_row"))
-    return rows.join(kept.select("_row"), "_row", "left_semi").select(*names).toDF(*docs.columns)
+    rows = common.numbered(docs.toDF(*names))
+    with common.scope():
+        texts = rows.select("_row", F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text"))
+        sets = common.written(nearcopies.with_sets(texts), "shingled")
+        order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+        firsts = common.written(sets.groupBy("_set").agg(F.min("_row").alias("_first"), F.min(order).alias("_best")).drop("_set"), "set-firsts")
+        roots = graph.components(nearcopies.links(texts, sets, firsts)).select(F.col("node").alias("_first"), "root")
+        best = firsts.join(roots, "_first", "left").groupBy(F.coalesce("root", "_first").alias("root")).agg(F.min("_best").alias("_best"))
+        kept = common.mark_rows(best.select("_best._row"), keep=True)
+    return common.only_marked(rows, kept).select(*names).toDF(*docs.columns)
