@@ -1,10 +1,8 @@
 """Line dedup with two Bloom filters; only suspected repeats are shuffled for exact confirmation.
 
-First pass: each task hashes its distinct (document, key) pairs and deals the
-hashes out by slice. A slice's owner puts each into the filter of hashes seen
-once or, if that holds it, into the filter of hashes seen twice. Both filters
-grow with the number of lines. The second one's slices are files in the shared
-folder, which tasks read as they need them; the driver holds none.
+First pass: each task hashes its distinct (document, key) pairs for the filters
+of hashes seen once and seen twice (``bloom``), which grow with the number of
+lines.
 
 Second pass: lines whose hash is in the second filter are suspects. Their keys,
 as 128-bit digests, are counted over distinct documents; keys in ``MIN_DOCS`` or
@@ -23,13 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratakit.llm import common, files
+from stratakit.llm import bloom, common
 
 MIN_CHARS, MIN_DOCS = 20, 3
-#: Bits of a filter for each line, of a slice of it (512 KB), the fewest slices, and probes for a hash.
-LINE_BITS, SLICE_BITS, LEAST_SLICES, PROBES = 12, 1 << 22, 64, 4
-#: Slices that a task holds at once.
-HELD_SLICES = 128
 #: Hashes a task holds before it sends them on.
 HELD_HASHES = 1 << 20
 
@@ -43,35 +37,10 @@ def key_of(line: bytes) -> bytes | None:
     return key if len(key) >= 4 * MIN_CHARS or len(key.decode()) >= MIN_CHARS else None
 
 
-def probes(hashes: np.ndarray) -> np.ndarray:
-    """The bits of each hash within its slice, ``PROBES`` columns; the slice is in the top bits."""
-    low, high = hashes & np.uint64(0xFFFFFFFF), (hashes >> np.uint64(26)) | np.uint64(1)
-    return ((low[:, None] + np.arange(PROBES, dtype=np.uint64) * high[:, None]) % np.uint64(SLICE_BITS)).astype(np.int64)
-
-
-def slice_of(hashes: np.ndarray, slices: int) -> np.ndarray:
-    """The slice of each hash; ``slices`` is a power of two."""
-    return (hashes >> np.uint64(65 - slices.bit_length())).astype(np.int64)
-
-
 def slices_for(docs: DataFrame) -> int:
     """Enough slices for all lines of ``docs``."""
     text = F.coalesce("text", F.lit(""))
-    n = docs.agg(F.sum(F.length(text) - F.length(F.translate(text, "\n", "")) + 1)).first()[0] or 0
-    return max(LEAST_SLICES, 1 << (-(-n * LINE_BITS // SLICE_BITS) - 1).bit_length())
-
-
-class Bits:
-    """One slice of a filter; one made from bytes is only read."""
-
-    def __init__(self, data: bytes | None = None):
-        self.words = np.frombuffer(data, np.uint8) if data else np.zeros(SLICE_BITS // 8, np.uint8)
-
-    def holds(self, at: np.ndarray) -> np.ndarray:
-        return ((self.words[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
-
-    def add(self, at: np.ndarray) -> None:
-        np.bitwise_or.at(self.words, (at >> 3).ravel(), (1 << (at & 7)).astype(np.uint8).ravel())
+    return bloom.slices_for(docs.agg(F.sum(F.length(text) - F.length(F.translate(text, "\n", "")) + 1)).first()[0] or 0)
 
 
 def _texts(batch: pa.RecordBatch, i: int) -> Iterator[bytes]:
@@ -81,71 +50,28 @@ def _texts(batch: pa.RecordBatch, i: int) -> Iterator[bytes]:
 
 def _hashes(batches: Iterator[pa.RecordBatch], n_slices: int) -> Iterator[pa.RecordBatch]:
     """Hashes of each document's distinct keys, by slice."""
-
-    def sent(held: list[int]) -> pa.RecordBatch:
-        hashes = np.sort(np.array(held, np.uint64))
-        slices, first = np.unique(slice_of(hashes, n_slices), return_index=True)
-        parts = np.split(hashes, first[1:])
-        return pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "hashes"])
-
     held: list[int] = []
     for batch in batches:
         for text in _texts(batch, 0):
             held.extend({xxhash.xxh3_64_intdigest(k) for line in text.split(b"\n") if (k := key_of(line)) is not None})
             if len(held) >= HELD_HASHES:
-                yield sent(held)
+                yield bloom.dealt(np.array(held, np.uint64), n_slices)
                 held = []
     if held:
-        yield sent(held)
-
-
-def _twice(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    """Write the slices that a task owns of the filter of hashes seen twice; rows come slice by slice."""
-    now, seen, again = None, Bits(), Bits()
-
-    def put() -> None:
-        if now is not None and again.words.any():
-            files.replace(f"{folder}/{now}", again.words.tobytes())
-
-    for batch in batches:
-        for s, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if s != now:
-                put()
-                now, seen, again = s, Bits(), Bits()
-            hashes = np.frombuffer(data.as_py(), np.uint64)
-            first = np.concatenate([[True], hashes[1:] != hashes[:-1]])  # sorted: a repeat within the batch stands beside its first
-            again.add(probes(hashes[~first]))
-            at = probes(hashes[first])
-            again.add(at[seen.holds(at)])
-            # Two new hashes of a batch may share bits; marking them twice only makes more suspects.
-            seen.add(at)
-    put()
-    yield pa.RecordBatch.from_arrays([pa.array([1], pa.int64())], names=["n"])
+        yield bloom.dealt(np.array(held, np.uint64), n_slices)
 
 
 def seen_twice(docs: DataFrame) -> tuple[str, int]:
-    """The folder of the second filter, a file for each slice that holds anything, and the number of slices."""
-    folder, n = common.new_path(docs.sparkSession, "seen-twice"), slices_for(docs)
-    dealt = docs.select("text").mapInArrow(lambda b: _hashes(b, n), "slice int, hashes binary")
-    dealt.repartition("slice").sortWithinPartitions("slice").mapInArrow(lambda b: _twice(b, folder), "n long").agg(F.sum("n")).first()
-    return folder, n
+    """The folder of the second filter and the number of its slices."""
+    n = slices_for(docs)
+    return bloom.seen_twice(docs.select("text").mapInArrow(lambda b: _hashes(b, n), bloom.DEALT)), n
 
 
 def suspects(docs: DataFrame, twice: tuple[str, int]) -> DataFrame:
     """(row, doc_id, key) of the distinct suspected keys of every row; ``key`` is a 128-bit digest."""
-    folder, n_slices = twice
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, Bits | None] = {}
-
-        def slice_at(s: int) -> Bits | None:
-            if s not in held:
-                if len(held) >= HELD_SLICES:
-                    held.pop(next(iter(held)))
-                data = files.read_if_there(f"{folder}/{s}")
-                held[s] = Bits(data) if data else None
-            return held[s]
-
+        again = bloom.Twice(*twice)
         for batch in batches:
             at_row, keys, hashes = [], [], []
             for i, text in enumerate(_texts(batch, 2)):
@@ -153,13 +79,7 @@ def suspects(docs: DataFrame, twice: tuple[str, int]) -> DataFrame:
                     at_row.append(i)
                     keys.append(k)
                     hashes.append(xxhash.xxh3_64_intdigest(k))
-            marks = np.array(hashes, np.uint64)
-            slices, at, hit = slice_of(marks, n_slices), probes(marks), np.zeros(len(marks), bool)
-            order = np.argsort(slices, kind="stable")
-            for own in np.split(order, np.flatnonzero(np.diff(slices[order])) + 1) if len(order) else ():
-                if (bits := slice_at(int(slices[own[0]]))) is not None:
-                    hit[own] = bits.holds(at[own])
-            kept = np.flatnonzero(hit)
+            kept = np.flatnonzero(again.holds(np.array(hashes, np.uint64)))
             rows = pa.array(np.array(at_row, np.int64)[kept])
             digests = [hashlib.blake2b(keys[i], digest_size=16).digest() for i in kept.tolist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(digests, pa.binary())], names=["row", "doc_id", "key"])

@@ -6,7 +6,7 @@ import re
 import duckdb
 import pytest
 
-from stratakit.llm import common, linededup as L
+from stratakit.llm import bloom, common, linededup as L
 
 
 def slow(rows):
@@ -39,7 +39,7 @@ def test_odd_rows_and_a_full_filter(spark, odd_docs, as_tables, monkeypatch, tmp
     """A filter that lets everything through changes nothing in the result."""
     if full:
         for s in range(64):
-            (tmp_path / str(s)).write_bytes(b"\xff" * (L.SLICE_BITS // 8))
+            (tmp_path / str(s)).write_bytes(b"\xff" * (bloom.SLICE_BITS // 8))
         monkeypatch.setattr(L, "seen_twice", lambda docs: (str(tmp_path), 64))
     line, odd = "The same line of at least twenty", "exactly twenty cps é"
     extra = [(20 + i, f"x{i}\n{line}\n \t{line.upper()}\r\n{odd if i < 3 else odd[1:]}") for i in range(5)] + [(None, f"{line}\n"), (24, f"{odd}\n{line}")]
@@ -55,6 +55,6 @@ def test_empty_table(spark, no_docs, as_tables):
 def test_filters_grow_with_the_lines(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a\nb\n"), (2, None), (3, "c")], "doc_id bigint, text string")
     assert L.slices_for(docs) == 64
-    monkeypatch.setattr(L, "LEAST_SLICES", 1)
-    monkeypatch.setattr(L, "LINE_BITS", L.SLICE_BITS)
+    monkeypatch.setattr(bloom, "LEAST_SLICES", 1)
+    monkeypatch.setattr(bloom, "HASH_BITS", bloom.SLICE_BITS)
     assert L.slices_for(docs) == 8  # five lines

@@ -10,31 +10,12 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from stratakit.llm import common, decontaminate, mixing, quality, simhash, tokens
+from stratakit.llm import common, decontaminate, mixing, quality, tokens
+from tests.llm.test_nearcopies import first_ids
 
 SF = "/root/testdata/sf0.001"
 
 
-def classes_of(rows):
-    """Rows in groups whose fingerprints link at 2 or fewer bits, by comparing all."""
-    marks = [simhash.fingerprint((r.text or "").encode()) & (2**64 - 1) for r in rows]
-    root = list(range(len(rows)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i, a in enumerate(marks):
-        for j in range(i):
-            if (a ^ marks[j]).bit_count() <= simhash.DISTANCE:
-                root[find(i)] = find(j)
-    groups = {}
-    for i, r in enumerate(rows):
-        groups.setdefault(find(i), []).append(r.doc_id)
-    return groups.values()
-
-
 def test_stages(spark):
     docs = common.documents(spark, SF)
     out = [docs]
@@ -44,7 +25,7 @@ def test_stages(spark):
     rows = [frame.collect() for frame in out]
     ids = [[r.doc_id for r in x] for x in rows]
     assert Counter(ids[1]) == Counter(r.doc_id for r in quality.judge(docs, ["doc_id"]).filter("kept").collect())
-    assert sorted(ids[2]) == sorted(min(g) for g in classes_of(rows[1]))
+    assert sorted(ids[2]) == first_ids([(r.doc_id, r.text) for r in rows[1]])
     leaks = {r.doc_id for r in decontaminate.matches(out[2], spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert sorted(ids[3]) == sorted(set(ids[2]) - leaks)
     sizes = common.written(out[3].select("doc_id", "source", mixing.n_words(out[3]["text"]).alias("size"), "text").selectExpr("*", "doc_id AS row"), "sizes")
@@ -58,7 +39,6 @@ def test_stages(spark):
     assert all(abs(taken[s] - t.target) <= most[s] + 1 for s, t in targets.items())
     # Token files: every copy, in order, with the ids that the library gives.
     tokenizer = Tokenizer.from_file(public_tokenizers.path(tokens.VOCABULARY))
-    tokenizer.encode_special_tokens = True
     want = Counter()
     for r in rows[4]:
         got = np.array([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, tokens.END_ID], "<u4")
