@@ -13,12 +13,12 @@ depend on how items are dealt to indexes; two neighbouring halves are a passage,
 stand lies within one.
 
 Items are kept in blocks of near equal length; each term has its largest impact
-in the index and in each block. A passage that lacks all of an item's heaviest
-words, as many as may be lacking and one more, can't reach its threshold, so a
-passage with no such word of any item is done with. For all others a cursor moves
-through the postings of each term: the pivot is the first item up to which the
-terms' largest impacts could reach the threshold; if those of its block could
-not, all cursors skip the block, else they meet at the pivot, which is scored.
+in the index and in each block it stands in. First the block maxima of each
+passage's terms are summed by block; a passage for which no block could reach the
+threshold is done with. For all others a cursor moves through the postings of
+each term: the pivot is the first item up to which the terms' largest impacts
+could reach the threshold; if those of its block could not, all cursors skip the
+block, else they meet at the pivot, which is scored.
 
 Tasks build the indexes, each of a bounded number of words, as files in the
 shared folder; one pass over the texts searches all of them.
@@ -45,11 +45,13 @@ from stratakit.llm import common, files
 GRAM, OVERLAP = 5, 0.8
 K1, B = 1.2, 0.75
 #: Items in a block, and words of all items in one index (a longer item has one for itself). A larger benchmark makes more indexes; a worker holds ``HELD_INDEXES`` of them.
-BLOCK_ITEMS, INDEX_WORDS, HELD_INDEXES = 16, 100_000, 4
+BLOCK_ITEMS, INDEX_WORDS, HELD_INDEXES = 8, 100_000, 4
 #: Words of half a passage, at least.
 HALF_WORDS = 64
 #: Words of documents searched at a time.
 SEARCH_WORDS = 300_000
+#: Pairs of a passage's term and a block that are summed at a time.
+PAIRS = 2_000_000
 WORD = re.compile(r"\w+")
 ENDS = re.compile(r"[.!?](?=\s)")
 NEAR_ONE = 1 - 1e-5
@@ -110,7 +112,6 @@ class Index:
         self.parts = [x[3:] for x in read]
         self.half, self.block_items = half, block_items
         self.vocabulary: dict[str, int] = {}
-        heavy: set[int] = set()
         df = Counter(w for _, _, tf, _, _ in read for w in tf)
         mean = sum(x[0] for x in read) / max(len(read), 1)
         postings: list[tuple[int, int, float]] = []
@@ -118,15 +119,18 @@ class Index:
             impact = {w: math.log(1 + (len(read) - df[w] + 0.5) / (df[w] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * n / mean)) for w, f in tf.items()}
             lack = sum(p.may_lack for p in parts)
             least = sum(sorted(impact.values())[: max(1, len(impact) - lack)])
-            own = [(self.vocabulary.setdefault(w, len(self.vocabulary)), i, v / least) for w, v in impact.items()]
-            heavy.update(t for t, _, _ in sorted(own, key=lambda x: -x[2])[: lack + 1])
-            postings += own
+            postings += [(self.vocabulary.setdefault(w, len(self.vocabulary)), i, v / least) for w, v in impact.items()]
         postings.sort()
         self.term_at = np.searchsorted([p[0] for p in postings], np.arange(len(self.vocabulary) + 1))
         self.items = np.array([p[1] for p in postings], np.int32)
         self.impacts = np.array([p[2] for p in postings], np.float64)
-        self.heavy = np.zeros(len(self.vocabulary), bool)
-        self.heavy[list(heavy)] = True
+        # The blocks each term stands in, one after the other, with its largest impact there.
+        terms = np.repeat(np.arange(len(self.vocabulary)), np.diff(self.term_at))
+        self.n_blocks = -(-len(read) // block_items)
+        pairs, at = np.unique(terms * max(self.n_blocks, 1) + self.items // block_items, return_inverse=True)
+        self.block_at = np.searchsorted(pairs // max(self.n_blocks, 1), np.arange(len(self.vocabulary) + 1))
+        self.blocks, self.block_max = pairs % max(self.n_blocks, 1), np.zeros(len(pairs))
+        np.maximum.at(self.block_max, at, self.impacts)
         self.lists: dict[int, tuple[list[int], list[float], float, dict[int, float]]] = {}
 
     def postings(self, term: int) -> tuple[list[int], list[float], float, dict[int, float]]:
@@ -173,6 +177,16 @@ class Index:
                     doc[i] = items[at[i]] if at[i] < len(items) else -1
             order = sorted((i for i in order if doc[i] >= 0), key=doc.__getitem__)
 
+    def _pieces(self, at: np.ndarray, terms: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Runs of whole passages whose terms stand in about ``PAIRS`` blocks together."""
+        upto = np.cumsum(self.block_at[terms + 1] - self.block_at[terms])
+        a = 0
+        while a < len(at):
+            b = int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PAIRS, side="right"))
+            b = int(np.searchsorted(at, at[min(max(b, a + 1), len(at)) - 1], side="right"))
+            yield a, b
+            a = b
+
     def search(self, docs: list[list[str]]) -> Iterator[tuple[int, int, float, float, float]]:
         """(document, item, score, question overlap, answer overlap) of every pair that passes, the best passage of each; documents are lists of words."""
         if not self.ids:
@@ -185,18 +199,25 @@ class Index:
         ids, doc, place = ids[known], doc[known], place[known]
         halves = lengths // self.half + 1
         half_at = np.cumsum(halves) - halves
-        passage = half_at[doc] + place // self.half
-        # A passage is its own half and the next of the same document.
-        open_ones = np.zeros(int(halves.sum()) + 1, bool)
-        own = passage[self.heavy[ids]]
-        open_ones[own] = True
-        open_ones[own[own > half_at[doc[self.heavy[ids]]]] - 1] = True
+        half = place // self.half
+        passage = half_at[doc] + half
+        # A passage is its own half and the next of the same document; a term counts once in it.
+        size = max(len(self.vocabulary), 1)
+        own = np.unique(np.concatenate([passage * size + ids, (passage * size + ids - size)[half > 0]]))
+        at, terms = own // size, own % size
+        found = []
+        for a, b in self._pieces(at, terms):
+            counts = self.block_at[terms[a:b] + 1] - self.block_at[terms[a:b]]
+            starts = np.repeat(self.block_at[terms[a:b]] - (np.cumsum(counts) - counts), counts)
+            place = starts + np.arange(len(starts))
+            bound = np.bincount((np.repeat(at[a:b], counts) - at[a]) * self.n_blocks + self.blocks[place], self.block_max[place])
+            found.append(np.unique(np.flatnonzero(bound >= NEAR_ONE) // self.n_blocks) + at[a])
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
-        for p in np.flatnonzero(open_ones).tolist():
+        for p in np.concatenate(found).tolist() if found else ():
             d = int(np.searchsorted(half_at, p, side="right")) - 1
-            a, b = np.searchsorted(passage, [p, p + 1 + (p + 1 < half_at[d] + halves[d])])
+            a, b = np.searchsorted(at, [p, p + 1])
             held, text = {}, None
-            for i, score in self.retrieve(np.unique(ids[a:b]).tolist()):
+            for i, score in self.retrieve(terms[a:b].tolist()):
                 if text is None:
                     start = (p - int(half_at[d])) * self.half
                     text = docs[d][start : start + 2 * self.half]

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from stratakit.llm import common
 
-HEAD, LONGEST = 150_000, 5
+HEAD, LONGEST = 400_000, 5
 SMOOTH = 0.5
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -149,7 +149,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     if not k:
         return docs.select("doc_id", held_out().alias("held_out"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     top = head_of(model.words)
-    vectors = np.array(top.column("v").to_pylist(), np.float64).reshape(top.num_rows, k)
+    vectors = top.column("v").combine_chunks().flatten().to_numpy().reshape(top.num_rows, k)
     held = spark.sparkContext.broadcast((top.column("word").to_pylist(), vectors, model.prior))
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("letter", pa.bool_()), ("known", pa.list_(pa.float64())), ("word", pa.string()), ("tf", pa.int64())])
 
