@@ -142,9 +142,9 @@ def normal_name(name: Column) -> Column:
 
 # Months as dates in English, German and French are spelled.
 MONTHS = {
-    "01": "january januar janvier jan", "02": "february februar février feb", "03": "march märz mars mar", "04": "april avril apr", "05": "may mai",
-    "06": "june juni juin jun", "07": "july juli juillet jul", "08": "august août aug", "09": "september septembre sep sept", "10": "october oktober octobre oct okt",
-    "11": "november novembre nov", "12": "december dezember décembre dec dez",
+    "01": "january januar jänner janvier jan", "02": "february februar février fevrier feb", "03": "march märz maerz mars mar", "04": "april avril apr", "05": "may mai",
+    "06": "june juni juin jun", "07": "july juli juillet jul", "08": "august août aout aug", "09": "september septembre sep sept", "10": "october oktober octobre oct okt",
+    "11": "november novembre nov", "12": "december dezember décembre decembre dec dez",
 }
 
 
@@ -162,12 +162,12 @@ def partial_date(text: Column) -> Column:
     month = lambda pattern, i: F.try_element_at(names, pick(pattern, i))
     full = lambda y, m, d: F.struct(F.concat_ws("-", y, m, F.lpad(d, 2, "0")).alias("value"), F.lit("day").alias("precision"))
     to_month = lambda y, m: F.struct(F.concat_ws("-", y, m).alias("value"), F.lit("month").alias("precision"))
-    valid = lambda m, d: m.cast("int").between(1, 12) & d.cast("int").between(1, 31)
+    valid = lambda m, d: m.try_cast("int").between(1, 12) & d.try_cast("int").between(1, 31)
     return (
         F.when(low.rlike(iso) & valid(pick(iso, 2), pick(iso, 3)), full(pick(iso, 1), pick(iso, 2), pick(iso, 3)))
         .when(low.rlike(r"^\d{4}-(0[1-9]|1[0-2])$"), F.struct(low.alias("value"), F.lit("month").alias("precision")))
-        .when(low.rlike(day_first) & month(day_first, 2).isNotNull() & pick(day_first, 1).cast("int").between(1, 31), full(pick(day_first, 3), month(day_first, 2), pick(day_first, 1)))
-        .when(low.rlike(month_first) & month(month_first, 1).isNotNull() & pick(month_first, 2).cast("int").between(1, 31), full(pick(month_first, 3), month(month_first, 1), pick(month_first, 2)))
+        .when(low.rlike(day_first) & month(day_first, 2).isNotNull() & pick(day_first, 1).try_cast("int").between(1, 31), full(pick(day_first, 3), month(day_first, 2), pick(day_first, 1)))
+        .when(low.rlike(month_first) & month(month_first, 1).isNotNull() & pick(month_first, 2).try_cast("int").between(1, 31), full(pick(month_first, 3), month(month_first, 1), pick(month_first, 2)))
         .when(low.rlike(month_only) & month(month_only, 1).isNotNull(), to_month(pick(month_only, 2), month(month_only, 1)))
         .when(low.rlike(r"^\d{4}$"), F.struct(low.alias("value"), F.lit("year").alias("precision")))
     )
