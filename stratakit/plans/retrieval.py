@@ -89,15 +89,18 @@ def search_compound_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.groupBy("term").agg(F.max_by("head", "cut").alias("head"), F.max_by("tail", "cut").alias("tail"))
 
 
-@query(f"""WITH df AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({TOKENS_SQL}) AS term FROM documents) GROUP BY term),
-forms AS (SELECT term, df, term || e AS form FROM df, (SELECT unnest(['s', 'es', 'e', 'n', 'en', 'er']) AS e) WHERE df < 50 AND len(term) >= 4)
-SELECT f.term, f.form, g.df AS form_df FROM forms f JOIN df g ON f.form = g.term WHERE g.df >= 3 AND g.df < greatest(50, 10 * f.df)""")
+@query(f"""WITH df AS MATERIALIZED (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({TOKENS_SQL}) AS term FROM documents) GROUP BY term),
+forms AS MATERIALIZED (SELECT term, df, term || unnest(['s', 'es', 'e', 'n', 'en', 'er']) AS form FROM df WHERE df < 50 AND len(term) >= 4),
+j AS (SELECT f.term, f.form, g.df AS form_df, f.df FROM forms f JOIN df g ON f.form = g.term)
+SELECT term, form, form_df FROM j WHERE form_df >= 3 AND form_df < greatest(50, 10 * df) QUALIFY row_number() OVER (PARTITION BY term ORDER BY form_df DESC, form) <= 3""")
 def search_inflections(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = S.document_frequency(S.postings(_docs(spark, sf_dir)))
     endings = F.array(*map(F.lit, ["s", "es", "e", "n", "en", "er"]))
     forms = df.filter((F.col("df") < 50) & (F.length("term") >= 4)).select("term", "df", F.explode(F.transform(endings, lambda e: F.concat("term", e))).alias("form"))
     known = df.select(F.col("term").alias("form"), F.col("df").alias("form_df"))
-    return forms.join(known, "form").filter((F.col("form_df") >= 3) & (F.col("form_df") < F.greatest(F.lit(50), 10 * F.col("df")))).select("term", "form", "form_df")
+    held = forms.join(known, "form").filter((F.col("form_df") >= 3) & (F.col("form_df") < F.greatest(F.lit(50), 10 * F.col("df"))))
+    three = held.withColumn("_r", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("form_df"), "form")))
+    return three.filter("_r <= 3").select("term", "form", "form_df")
 
 
 @query(f"WITH {KNN_SQL} SELECT query, vec_id, round(similarity, 5) AS similarity, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id) AS place FROM dot) WHERE place <= 10")
@@ -227,10 +230,10 @@ def doc_stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.withColumn("r", F.row_number().over(w)).filter("r <= 3").select("doc_id", "quality", "source")
 
 
-@query("SELECT d.doc_id, quality, toxic, substr(text, 1, 700) AS opening FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality IS NOT NULL")
+@query("SELECT d.doc_id, quality, toxic, substr(text, 1, 2200) AS opening FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality IS NOT NULL")
 def doc_training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = _docs(spark, sf_dir).join(table(spark, sf_dir, "labels").filter("quality IS NOT NULL"), "doc_id")
-    return joined.select("doc_id", "quality", "toxic", F.substring("text", 1, 700).alias("opening"))
+    return joined.select("doc_id", "quality", "toxic", F.substring("text", 1, 2200).alias("opening"))
 
 
 @query(rf"""WITH w AS (SELECT doc_id, seq, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS t FROM {WINDOWS_SQL}),
