@@ -71,23 +71,24 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Model:
-    """Languages with the log share of their words (``prior``), and the log frequencies of words (word, n, v) and n-grams (gram, v) in each."""
+    """Languages with the log share of their words (``prior``), log frequencies of words (word, n, v0, v1 and so on) in each, n-grams (gram, k, c0, c1 and so on) with their counts, and by length the logs of what these are divided by."""
 
     langs: list[str]
     prior: np.ndarray
     words: DataFrame
     grams: DataFrame
+    least: dict[int, list[float]]
 
 
 def _by_item(counts: DataFrame, item: str, langs: list[str]) -> DataFrame:
-    """(item, n, c): its count in all and in each language."""
-    each = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)) for x in langs]
-    return counts.groupBy(item).agg(F.sum("n").alias("n"), F.array(*each).alias("c"))
+    """(item, n, c0, c1 and so on): its count in all and in each language."""
+    each = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"c{i}") for i, x in enumerate(langs)]
+    return counts.groupBy(item).agg(F.sum("n").alias("n"), *each)
 
 
-def _logs(counts: Column, least: list[float]) -> Column:
+def _logs(least: list[float]) -> list[Column]:
     """log((count + SMOOTH) / total) for each language, ``least`` being the logs of the totals."""
-    return F.zip_with(counts, F.array(*map(F.lit, least)), lambda c, t: F.log(c + F.lit(SMOOTH)) - t)
+    return [(F.log(F.col(f"c{i}") + F.lit(SMOOTH)) - F.lit(t)).alias(f"v{i}") for i, t in enumerate(least)]
 
 
 def fit(docs: DataFrame) -> Model:
@@ -95,29 +96,24 @@ def fit(docs: DataFrame) -> Model:
     train = docs.select(F.col("lang").cast("string").alias("lang"), "text").filter("lang IS NOT NULL AND text IS NOT NULL")
     langs = sorted(r.lang for r in train.select("lang").distinct().collect())
     if not langs:
-        return Model([], np.zeros(0), docs.limit(0), docs.limit(0))
+        return Model([], np.zeros(0), docs.limit(0), docs.limit(0), {})
     counts = train.mapInArrow(_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = common.written(counts, "language-words")
     sizes = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     totals = np.array([sizes.get(x, 0) for x in langs], np.float64)
-    prior = np.log((totals + SMOOTH) / (totals.sum() + SMOOTH * max(len(langs), 1)))
+    prior = np.log((totals + SMOOTH) / (totals.sum() + SMOOTH * len(langs)))
     words = common.written(_by_item(counts, "word", langs), "language-word-counts")
-    kinds = words.count()
-    words = words.select("word", "n", _logs(F.col("c"), np.log(totals + SMOOTH * (kinds + 1)).tolist()).alias("v"))
+    words = words.select("word", "n", *_logs(np.log(totals + SMOOTH * (words.count() + 1)).tolist()))
     # Each word once in a language, so that unseen words are likened to rare ones.
     found = counts.select("lang", "word").mapInArrow(_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    grams = common.written(_by_item(found, "gram", langs).drop("n"), "language-grams")
-    sums = [F.sum(F.col("c")[i]).alias(f"s{i}") for i in range(len(langs))]
-    by_length = {r.k: r for r in grams.groupBy(F.length("gram").alias("k")).agg(F.count("*").alias("kinds"), *sums).collect()}  # a row a length
-    logs = F.array().cast("array<double>")
-    for k, r in by_length.items():
-        least = [float(np.log(r[f"s{i}"] + SMOOTH * (r.kinds + 1))) for i in range(len(langs))]
-        logs = F.when(F.length("gram") == k, _logs(F.col("c"), least)).otherwise(logs)
-    return Model(langs, prior, words, grams.select("gram", logs.alias("v")))
+    grams = common.written(_by_item(found, "gram", langs).withColumn("k", F.length("gram")).drop("n"), "language-grams")
+    by_length = grams.groupBy("k").agg(F.count("*").alias("kinds"), *[F.sum(f"c{i}").alias(f"s{i}") for i in range(len(langs))]).collect()  # a row a length
+    least = {r.k: [float(np.log(r[f"s{i}"] + SMOOTH * (r.kinds + 1))) for i in range(len(langs))] for r in by_length}
+    return Model(langs, prior, words, grams, least)
 
 
 def head_of(words: DataFrame) -> pa.Table:
-    """(word, v) of at most ``HEAD`` words, the most frequent, whole steps of a sixteenth of a doubling."""
+    """(word, v0, v1 and so on) of at most ``HEAD`` words, the most frequent, whole steps of a sixteenth of a doubling."""
     step = F.floor(F.log2("n") * 16)
     total, least = 0, None
     for r in sorted(words.groupBy(step.alias("s")).agg(F.count("*").alias("c")).collect(), reverse=True):  # under a thousand rows
@@ -125,16 +121,24 @@ def head_of(words: DataFrame) -> pa.Table:
         if total > HEAD:
             break
         least = r.s
-    return words.filter(step >= least if least is not None else F.lit(False)).select("word", "v").toArrow()
-
-
-def unseen(words: DataFrame, grams: DataFrame, k: int) -> DataFrame:
-    """(word, v) for distinct ``words`` (word): the mean over the longest n-grams of a word that are known; none where no n-gram is."""
-    places = words.select("word", F.concat(F.lit("<"), "word", F.lit(">")).alias("m"))
-    each = F.expr(f"flatten(transform(sequence(1, least({LONGEST}, length(m))), k -> transform(sequence(1, length(m) - k + 1), i -> substring(m, i, k))))")
-    pairs = places.select("word", F.explode(each).alias("gram"))
-    found = pairs.join(grams, "gram").groupBy("word", F.length("gram").alias("k")).agg(F.array(*[F.avg(F.col("v")[i]) for i in range(k)]).alias("v"))
-    return found.groupBy("word").agg(F.max_by("v", "k").alias("v"))
+    return words.filter(step >= least if least is not None else F.lit(False)).drop("n").toArrow()
+
+
+def unseen(words: DataFrame, model: Model) -> DataFrame:
+    """(word, v0, v1 and so on) for written distinct ``words`` (word): the mean over the longest n-grams of a word that are known; none where no n-gram is."""
+    k, out = len(model.langs), words.select("word", *[F.lit(0.0).alias(f"v{i}") for i in range(len(model.langs))]).limit(0)
+    left = words.select("word", F.concat(F.lit("<"), "word", F.lit(">")).alias("m"))
+    for n in range(LONGEST, 0, -1):
+        if n not in model.least or left.isEmpty():
+            continue
+        each = F.transform(F.sequence(F.lit(1), F.length("m") - n + 1), lambda i, n=n: F.substring(F.col("m"), i, F.lit(n)))
+        pairs = left.filter(F.length("m") >= n).select("word", F.explode(each).alias("gram"))
+        known = model.grams.filter(F.col("k") == n).select("gram", *_logs(model.least[n]))
+        found = pairs.join(known, "gram").groupBy("word").agg(*[F.avg(f"v{i}").alias(f"v{i}") for i in range(k)])
+        found = common.written(found, "unseen-scores")
+        out = out.unionByName(found)
+        left = common.written(left.join(found.select("word"), "word", "left_anti"), "unseen-words")
+    return out
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -149,7 +153,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     if not k:
         return docs.select("doc_id", held_out().alias("held_out"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     top = head_of(model.words)
-    vectors = top.column("v").combine_chunks().flatten().to_numpy().reshape(top.num_rows, k)
+    vectors = np.column_stack([top.column(f"v{i}").to_numpy() for i in range(k)])
     held = spark.sparkContext.broadcast((top.column("word").to_pylist(), vectors, model.prior))
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("letter", pa.bool_()), ("known", pa.list_(pa.float64())), ("word", pa.string()), ("tf", pa.int64())])
 
@@ -178,10 +182,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     rows = common.numbered(docs, "row").select("row", "doc_id", "text")
     both = common.written(rows.mapInArrow(read, "row long, doc_id long, letter boolean, known array<double>, word string, tf long"), "language-texts")
     texts, rest = both.filter("word IS NULL").select("row", "doc_id", "letter", "known"), both.filter("word IS NOT NULL").select("row", "word", "tf")
-    table = model.words.select("word", "v")
+    table = model.words.drop("n")
     missing = common.written(rest.select("word").distinct().join(table, "word", "left_anti"), "unseen-words")
-    table = table.unionByName(common.written(unseen(missing, model.grams, k), "unseen-scores"))
-    more = rest.join(table, "word").groupBy("row").agg(*[F.sum(F.col("tf") * F.col("v")[i]).alias(f"_s{i}") for i in range(k)])
+    table = table.unionByName(unseen(missing, model))
+    more = rest.join(table, "word").groupBy("row").agg(*[F.sum(F.col("tf") * F.col(f"v{i}")).alias(f"_s{i}") for i in range(k)])
     sums = F.array(*[F.col("known")[i] + F.coalesce(F.col(f"_s{i}"), F.lit(0.0)) for i in range(k)]).cast("array<double>")
     out = texts.join(more, "row", "left").select("doc_id", "letter", sums.alias("_v")).withColumn("_most", F.array_max("_v"))
     share = 1 / F.aggregate("_v", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_most")))
