@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -124,6 +124,10 @@ def head_of(words: DataFrame) -> pa.Table:
     return words.filter(step >= least if least is not None else F.lit(False)).drop("n").toArrow()
 
 
+def _part(n: int) -> Callable[[Column], Column]:
+    return lambda i: F.substring(F.col("m"), i, F.lit(n))
+
+
 def unseen(words: DataFrame, model: Model) -> DataFrame:
     """(word, v0, v1 and so on) for written distinct ``words`` (word): the mean over the longest n-grams of a word that are known; none where no n-gram is."""
     k, out = len(model.langs), words.select("word", *[F.lit(0.0).alias(f"v{i}") for i in range(len(model.langs))]).limit(0)
@@ -131,7 +135,7 @@ def unseen(words: DataFrame, model: Model) -> DataFrame:
     for n in range(LONGEST, 0, -1):
         if n not in model.least or left.isEmpty():
             continue
-        each = F.transform(F.sequence(F.lit(1), F.length("m") - n + 1), lambda i, n=n: F.substring(F.col("m"), i, F.lit(n)))
+        each = F.transform(F.sequence(F.lit(1), F.length("m") - n + 1), _part(n))
         pairs = left.filter(F.length("m") >= n).select("word", F.explode(each).alias("gram"))
         known = model.grams.filter(F.col("k") == n).select("gram", *_logs(model.least[n]))
         found = pairs.join(known, "gram").groupBy("word").agg(*[F.avg(f"v{i}").alias(f"v{i}") for i in range(k)])
