@@ -3,7 +3,7 @@
 Records are keyed by a hash of id and text. A size-weighted sample of keys gives
 quantile boundaries, which range-partition the records; ranges whose bytes turn
 out above ``OVERFULL`` times their share are subdivided by a sample of their own
-until none is, or one key alone fills it. Ranges then follow one another: from
+until none is, or a record alone is larger. Ranges then follow one another: from
 exact totals of the ranges and running sums within each, every record has its
 byte position, and a shard is an equal share of all bytes.
 """
@@ -22,8 +22,8 @@ from stratakit.llm import common
 N_SHARDS = 24
 #: Bytes a record counts besides its text.
 RECORD_BYTES = 8
-#: Records a range should hold, samples drawn for each range, most ranges at first, and rounds of subdivision.
-RANGE_ROWS, DRAWS, MOST_RANGES, ROUNDS = 2_000, 24, 16_384, 6
+#: Records a range should hold, samples drawn for each range, and most ranges that one sample on the driver parts; in a larger table ranges hold more records.
+RANGE_ROWS, DRAWS, MOST_RANGES = 2_000, 24, 16_384
 OVERFULL = 2.0
 
 
@@ -88,11 +88,15 @@ def ranges(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     out = rows.withColumn("path", F.array().cast("array<int>")).withColumn("node", F.lit(0))
     drawn = sample(out.withColumn("_bytes", F.lit(max(total, 1))), "node", DRAWS * wanted, 1)
     out = ranged(out, {0: splitters([(r.key, r.tie) for r in drawn.collect()], wanted)}, "shard-ranges")
-    share = max(total / wanted, 1.0)
-    for step in range(ROUNDS):
+    share, step, before = max(total / wanted, 1.0), 0, None
+    while True:
         totals = common.written(out.groupBy("path").agg(F.count("*").alias("_rows"), F.sum("size").alias("_bytes")), "range-totals")
         over = totals.filter((F.col("_bytes") > OVERFULL * share) & (F.col("_rows") > 1)).collect()  # of at most total / share ranges
-        if not over or step == ROUNDS - 1:
+        left = sorted((r._rows, r._bytes) for r in over)
+        if left == before:  # what is overfull still is one record with few others
+            break
+        before, step = left, step + 1
+        if not over:
             break
         parts = {i: max(2, -(-int(r._bytes) // int(share))) for i, r in enumerate(over, 1)}
         nodes = rows.sparkSession.createDataFrame([(i, r.path, r._bytes) for i, r in enumerate(over, 1)], "node int, path array<int>, _bytes long")
@@ -128,4 +132,5 @@ def assign(docs: DataFrame, shards: int = N_SHARDS) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of ``documents``, by ``assign``: null and empty texts weigh 8 bytes, a text of any length is one record, repeated rows are records of their own, other columns are not read."""
     return assign(common.documents(spark, sf_dir))
