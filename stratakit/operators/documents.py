@@ -87,7 +87,7 @@ def published(sources: list[Column]) -> Column:
 
 
 def current_of(redirects: DataFrame, rounds: int = 20) -> DataFrame:
-    """(doc_id, current): where each retired document's redirects end; pointers double in each round, a cycle ends at its least id seen."""
+    """(doc_id, current): where each retired document's redirects end; pointers double in each round; a document that redirects to itself stays, a longer cycle is an error."""
     at = redirects.select("doc_id", F.col("replaced_by").alias("current"))
     for _ in range(rounds):
         step = at.select(F.col("doc_id").alias("_id"), F.col("current").alias("_next"))
@@ -96,8 +96,8 @@ def current_of(redirects: DataFrame, rounds: int = 20) -> DataFrame:
         more = at.filter("_more").limit(1).count()
         at = at.drop("_more")
         if not more:
-            break
-    return at
+            return at
+    raise RuntimeError(f"redirects in a cycle, or a chain longer than 2 ** {rounds}")
 
 
 def single_copies(places: DataFrame, held: DataFrame) -> DataFrame:

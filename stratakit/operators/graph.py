@@ -60,8 +60,8 @@ def merge_chains(merges: DataFrame, rounds: int = 20) -> DataFrame:
         more = joined.filter("_next IS NOT NULL").limit(1).count()
         at = joined.select("id", F.coalesce("_next", "cid").alias("cid"))
         if not more:
-            break
-    return at
+            return at
+    raise RuntimeError(f"merges in a cycle, or a chain longer than 2 ** {rounds}")
 
 
 def ends(edges: DataFrame) -> DataFrame:

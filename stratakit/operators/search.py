@@ -100,6 +100,16 @@ def bm25(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "te
     return out.filter(F.col("n_terms") == len(words)) if all_terms else out
 
 
+def bm25_batch(index: tuple[DataFrame, DataFrame], queries: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(query, key, score) for many queries (query, term) at once: their terms meet the postings once."""
+    postings, stats = index
+    n, mean = stats.first()
+    held = postings.join(queries.select("term").distinct(), "term", "left_semi")
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
+    parts = idf(F.lit(n), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))
+    return queries.distinct().join(df, "term").join(postings, "term").groupBy("query", key).agg(F.sum(parts).alias("score"))
+
+
 def phrase(docs: DataFrame, words: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n) of texts that hold the words in this order beside each other."""
     joined = F.concat(F.lit(" "), F.array_join(T.tokens(F.col(text)), "  "), F.lit(" "))

@@ -157,13 +157,6 @@ def search_domain_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.round("prior", 8).alias("prior"))
 
 
-@query("""WITH works AS (SELECT doc_id, n_chars % 50 AS work, row_number() OVER (PARTITION BY n_chars % 50 ORDER BY doc_id) AS v, max(doc_id) OVER (PARTITION BY n_chars % 50) AS latest FROM documents)
-SELECT latest, count(*) - 1 AS older, min(doc_id) AS oldest FROM works GROUP BY latest""")
-def search_fold_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    works = _docs(spark, sf_dir).groupBy((F.col("n_chars") % 50).alias("work"))
-    return works.agg(F.max("doc_id").alias("latest"), (F.count("*") - 1).alias("older"), F.min("doc_id").alias("oldest")).drop("work")
-
-
 WINDOWS_SQL = "(SELECT doc_id, i AS seq, i * 850 AS start, least(len(text), i * 850 + 1000) AS \"end\", substr(text, i * 850 + 1, 1000) AS text FROM (SELECT doc_id, text, unnest(range(0, greatest(0, ceil((len(text) - 1000) / 850))::BIGINT + 1)) AS i FROM documents WHERE len(text) > 0))"
 
 
@@ -243,13 +236,3 @@ SELECT doc_id, seq AS chunk, arg_min(phrase, i) AS phrase FROM once GROUP BY doc
 def search_unique_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     passages = D.chunks(_docs(spark, sf_dir)).select("doc_id", F.col("seq").cast("long").alias("chunk"), "text")
     return S.unique_phrases(passages, 6)
-
-
-@query("""WITH best AS (SELECT item_id, min(place) AS p FROM (SELECT item_id, item_id AS doc_id FROM benchmark) LEFT JOIN (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY label, vec_id) AS place FROM embeddings QUALIFY place <= 100) USING (doc_id) GROUP BY item_id)
-SELECT count(*) AS queries, round(avg(coalesce((p <= 1)::INT, 0)), 6) AS hit1, round(avg(coalesce((p <= 3)::INT, 0)), 6) AS hit3, round(avg(coalesce(1.0 / p, 0)), 6)::DOUBLE AS mrr FROM best""")
-def search_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hit rates of one stand-in list for all benchmark items, each expecting the document of its own number."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("item_id").alias("doc_id"))
-    ranked = S.places(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), (-F.col("label")).alias("score")), S.RRF_DEPTH)
-    out = S.evaluate(ranked.select("doc_id", "place").join(items.select("query", F.col("doc_id").alias("_d")), F.col("doc_id") == F.col("_d")).drop("_d"), items)
-    return out.select("queries", *[F.round(c, 6).alias(c) for c in ("hit1", "hit3", "mrr")])
