@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratakit.plans import corpus, events, graphs, health, knowledge, language, library, relational, retrieval, structure  # noqa: F401 - each registers its queries
+from stratakit.plans import corpus, events, graphs, health, knowledge, language, library, relational, retrieval, structure, upkeep  # noqa: F401 - each registers its queries
 from stratakit.plans.base import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "search_hybrid"
