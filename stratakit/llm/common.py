@@ -106,10 +106,10 @@ def sliced(n_keys: Column | int, *keys: Column, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(n_keys) if isinstance(n_keys, int) else n_keys)
 
 
-def attach(big: DataFrame, small: DataFrame, on: list[str], salt_by: list[str], how: str = "left", salts: int = 16, limit: int = BROADCAST_ROWS) -> DataFrame:
+def attach(big: DataFrame, small: DataFrame, on: list[str], salt_by: list[str], how: str = "left", salts: int = 16) -> DataFrame:
     """Join ``small`` (one row a key, already written) to ``big``; null keys match nulls.
 
-    ``small`` is counted: at most ``limit`` rows are broadcast. Beyond, ``big`` is
+    ``small`` is counted: at most ``BROADCAST_ROWS`` rows are broadcast. Beyond, ``big`` is
     salted and ``small`` repeated for each salt, so a key with a third of all
     rows is spread over ``salts`` tasks. The salt comes from the columns
     ``salt_by``, so a task that runs again deals its rows out as before.
@@ -117,10 +117,10 @@ def attach(big: DataFrame, small: DataFrame, on: list[str], salt_by: list[str],
     names = [f"_on{i}" for i in range(len(on))]
     right = small.select(*[F.col(c).alias(n) for c, n in zip(on, names, strict=True)], *[c for c in small.columns if c not in on])
     same = reduce(lambda a, b: a & b, [big[c].eqNullSafe(right[n]) for c, n in zip(on, names, strict=True)])
-    if small.count() <= limit:
+    if small.count() <= BROADCAST_ROWS:
         return big.join(F.broadcast(right), same, how).drop(*names)
     salted = big.withColumn("_salt", sliced(salts, *[F.col(c) for c in salt_by], seed=7))
-    right = right.withColumn("_salt_of", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    right = right.withColumn("_salt_of", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     same = reduce(lambda a, b: a & b, [salted[c].eqNullSafe(right[n]) for c, n in zip(on, names, strict=True)])
     return salted.join(right, same & (salted["_salt"] == right["_salt_of"]), how).drop("_salt", "_salt_of", *names)
 

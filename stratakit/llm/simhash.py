@@ -188,7 +188,12 @@ def classes(rows: DataFrame, name: str = "doc_id") -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each row of ``documents``; null and empty texts have fingerprint zero; an empty table gives an empty result."""
+    """A row for each row of ``documents``, repeated ones too.
+
+    Null and empty texts have fingerprint zero and are linked like any other; a
+    text of any length is read whole; a component of null ids alone has a null
+    id; an empty table gives an empty result; other columns are not read.
+    """
     rows = common.written(with_fingerprints(common.documents(spark, sf_dir), ["doc_id"]), "document-fingerprints")
     found = classes(rows)
     return rows.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
