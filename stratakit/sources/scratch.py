@@ -11,9 +11,11 @@ _own_dir: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder of the machine only where none is set, as in tests."""
+    """``spark.checkpoint.dir``; a temporary folder of the machine only where none is set and all runs on it, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _own_dir:
             _own_dir.append(f"file://{tempfile.mkdtemp(prefix='stratakit-')}")
         path = _own_dir[0]
