@@ -54,8 +54,8 @@ def text_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""WITH p AS (SELECT page_id, trim(url) AS u FROM pages),
 s AS (SELECT page_id, lower(regexp_extract(regexp_replace(u, '#.*$', ''), '^([^:/?#]+://[^/?]*)', 1)) AS head, regexp_replace(regexp_replace(u, '#.*$', ''), '^[^:/?#]+://[^/?]*', '') AS rest FROM p),
 q AS (SELECT page_id, head, regexp_extract(rest, '^([^?]*)', 1) AS path, array_to_string(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'),
-  lambda x: x <> '' AND NOT regexp_matches(regexp_extract(x, '^([^=]*)', 1), '^(utm_\w+|fbclid|gclid|dclid|msclkid|mc_cid|mc_eid|igshid|ref|ref_src|_hsenc|_hsmi|yclid|vero_id|s_cid)$', 'i')), '&') AS params FROM s)
-SELECT page_id, head || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN params <> '' THEN '?' || params ELSE '' END AS canonical FROM q""")
+  lambda x: x <> '' AND NOT regexp_matches(regexp_extract(x, '^([^=]*)', 1), '@TRACKING', 'i')), '&') AS params FROM s)
+SELECT page_id, head || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN params <> '' THEN '?' || params ELSE '' END AS canonical FROM q""".replace("@TRACKING", T.TRACKING.replace("(?i)", "")))
 def page_canonical_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.canonical_url(F.col("url")).alias("canonical"))
 
