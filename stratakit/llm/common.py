@@ -10,7 +10,8 @@ from functools import reduce, wraps
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratakit.llm import files
@@ -125,23 +126,34 @@ def attach(big: DataFrame, small: DataFrame, on: list[str], salt_by: list[str],
     return salted.join(right, same & (salted["_salt"] == right["_salt_of"]), how).drop("_salt", "_salt_of", *names)
 
 
-def numbered(docs: DataFrame, name: str = "_row") -> DataFrame:
-    """``docs``, as read from files, with a number that is unique to each row: its partition in the high bits, its place there in the low ones.
+#: Bits of a row's number that tell its place in its file, and those that tell it within a block of rows.
+PLACE_BITS, BLOCK_BITS = 36, 17
 
-    Two reads of the same files number rows alike, whatever columns they take.
-    """
-    return docs.withColumn(name, F.monotonically_increasing_id())
 
+def numbered(docs: DataFrame, columns: dict[str, str], name: str = "_row") -> DataFrame:
+    """``columns`` (their names: new ones) of ``docs`` with a number of each row's own: its file in the high bits, its place in the file in the low ones.
 
-#: Bits of a row's number that tell its place in the partition.
-PLACE_BITS = 33
+    Both are properties of the files, so two scans number rows alike however
+    Spark splits the files, with executors that join or leave in between. A
+    table that isn't read from Parquet files is written first. What is
+    broadcast is a row a file.
+    """
+    try:
+        meta = docs.metadataColumn("_metadata")
+        rows = docs.select(*[docs[f"`{c}`"].alias(n) for c, n in columns.items()], meta["file_path"].alias("_file"), meta["row_index"].alias("_at"))
+        rows.schema  # noqa: B018 - resolves the columns
+    except AnalysisException:
+        return numbered(written(docs, "numbered"), columns, name)
+    paths = rows.select("_file").distinct()
+    paths = written(paths.select("_file", F.row_number().over(Window.orderBy("_file")).cast("long").alias("_k")), "file-numbers")
+    rows = rows.join(F.broadcast(paths), "_file")
+    return rows.select(*columns.values(), F.shiftleft("_k", PLACE_BITS).bitwiseOR(F.col("_at")).alias(name))
 
 
 def mark_rows(rows: DataFrame, name: str = "_row", payload: str | None = None, keep: bool = False) -> str:
-    """Write the numbers in ``rows``, with ``payload`` the 16 bytes beside each, as a file for each partition they come from; the folder.
+    """Write the numbers in ``rows``, with ``payload`` the 16 bytes beside each, as a file for each block of 2^BLOCK_BITS rows they come from; the folder.
 
-    What a partition's file holds is bounded by what the partition of a file
-    split holds. A task that runs again writes the same file.
+    A task that runs again writes the same file.
     """
     folder = new_path(rows.sparkSession, "marked-rows", keep)
 
@@ -154,7 +166,7 @@ def mark_rows(rows: DataFrame, name: str = "_row", payload: str | None = None, k
 
         for batch in batches:
             numbers = batch.column(0).to_numpy()
-            parts = numbers >> PLACE_BITS
+            parts = numbers >> BLOCK_BITS
             for p in np.unique(parts).tolist():
                 if p != part:
                     put()
@@ -164,13 +176,13 @@ def mark_rows(rows: DataFrame, name: str = "_row", payload: str | None = None, k
         put()
         yield pa.RecordBatch.from_arrays([pa.array([1], pa.int64())], names=["n"])
 
-    dealt = rows.select(F.col(name).cast("long").alias(name), *([payload] if payload else [])).repartition(F.shiftright(name, PLACE_BITS)).sortWithinPartitions(name)
+    dealt = rows.select(F.col(name).cast("long").alias(name), *([payload] if payload else [])).repartition(F.shiftright(name, BLOCK_BITS)).sortWithinPartitions(name)
     dealt.mapInArrow(write, "n long").agg(F.sum("n")).first()
     return folder
 
 
 class Marked:
-    """What ``mark_rows`` wrote, looked up by row; a partition's file is read once by a task that reads that partition."""
+    """What ``mark_rows`` wrote, looked up by row; a block's file is read once by a task that reads its rows."""
 
     def __init__(self, folder: str, width: int = 0):
         self.folder, self.width, self.part = folder, width, None
@@ -185,7 +197,7 @@ class Marked:
     def among(self, numbers: np.ndarray) -> np.ndarray:
         """Which of the rows are there."""
         out = np.zeros(len(numbers), bool)
-        parts = numbers >> PLACE_BITS
+        parts = numbers >> BLOCK_BITS
         for part in np.unique(parts).tolist():
             self._turn_to(part)
             own = np.flatnonzero(parts == part)
@@ -196,7 +208,7 @@ class Marked:
 
     def payloads(self, number: int) -> set[bytes]:
         """What is written beside a row."""
-        self._turn_to(number >> PLACE_BITS)
+        self._turn_to(number >> BLOCK_BITS)
         a, b = np.searchsorted(self.numbers, [number, number + 1]).tolist() if len(self.numbers) else (0, 0)
         return {self.payload[k * self.width : (k + 1) * self.width] for k in range(a, b)}
 

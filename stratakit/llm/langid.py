@@ -183,7 +183,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             if texts or rest:
                 yield sent()
 
-    rows = common.numbered(docs, "row").select("row", "doc_id", "text")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     both = common.written(rows.mapInArrow(read, "row long, doc_id long, letter boolean, known array<double>, word string, tf long"), "language-texts")
     texts, rest = both.filter("word IS NULL").select("row", "doc_id", "letter", "known"), both.filter("word IS NOT NULL").select("row", "word", "tf")
     table = model.words.drop("n")

@@ -7,7 +7,7 @@ lines.
 Second pass: lines whose hash is in the second filter are suspects. Their keys,
 as 128-bit digests, are counted over distinct documents; keys in ``MIN_DOCS`` or
 more keep their lines in the largest doc_id alone. Third pass: the lines go. What
-each partition loses lies in a file beside it, so texts are never shuffled.
+each block of rows loses lies in a file beside it, so texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -124,7 +124,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     text of any length is read whole. An empty table gives an empty result;
     other columns are not read.
     """
-    docs = common.numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "row").select("row", "doc_id", "text")
+    docs = common.numbered(docs, {"doc_id": "doc_id", "text": "text"}, "row").select("row", F.col("doc_id").cast("long").alias("doc_id"), "text")
     folder = drops(docs)
     return docs.mapInArrow(lambda b: _cut(b, folder), "doc_id long, n_lines long, n_dropped long, text string")
 

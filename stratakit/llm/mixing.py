@@ -8,7 +8,7 @@ keeps its expectation. Blocks of a bounded number of documents are rounded in
 parallel down to one open fraction each; the open ones form blocks again, level
 by level, until a source has one, which is rounded last.
 
-Chance comes from hashes of ids (and of the place in the table, only for rows
+Chance comes from hashes of ids (and of the place in the files, only for rows
 whose doc_id repeats), so reruns agree however the work is parted.
 """
 
@@ -24,6 +24,8 @@ SHARE, CAP = 1.5, 2.0
 #: Documents in a block on average, and open fractions of blocks in a block of the next level.
 LEAF, BRANCH = 48, 32
 SEED = 20
+#: Bits below the partition in the ids that Spark gives rows in order.
+PARTITION_BITS = 33
 
 _ITEM = "STRUCT<k: BIGINT, h: BIGINT, row: BIGINT, p: DOUBLE, u: DOUBLE>"
 _DONE = "STRUCT<row: BIGINT, up: INT>"
@@ -47,12 +49,12 @@ def targets(rows: DataFrame) -> DataFrame:
     with common.scope():
         sources = common.written(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), "source-sizes")
         order = [F.col("source").asc_nulls_last()]
-        dealt = common.numbered(sources.repartitionByRange(*order).sortWithinPartitions(*order), "_at")
-        dealt = common.written(dealt.withColumn("_part", F.shiftright("_at", common.PLACE_BITS)), "ranked-sources")
+        dealt = sources.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+        dealt = common.written(dealt.withColumn("_part", F.shiftright("_at", PARTITION_BITS)), "ranked-sources")
         parts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
         before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
         starts = common.written(parts.select("_part", before.alias("_before")), "source-starts")
-        place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << common.PLACE_BITS) - 1))
+        place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << PARTITION_BITS) - 1))
         weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod(place, F.lit(len(WEIGHTS))) + 1).cast("int"))
         ranked = dealt.join(starts, "_part").select("source", "source_size", "docs", weight.cast("double").alias("_w"), (CAP * F.col("source_size")).alias("_cap"))
         ranked = common.written(ranked, "weighed-sources")
@@ -142,7 +144,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     Texts of any length count whole; rows that repeat are rounded each by
     itself; an empty table gives an empty result; other columns are not read.
     """
-    docs = common.documents(spark, sf_dir).select("doc_id", "source", n_words(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("row"))
+    docs = common.numbered(common.documents(spark, sf_dir), {"doc_id": "doc_id", "source": "source", "text": "text"}, "row")
+    docs = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), "row")
     return copies(common.written(docs, "mix-sizes")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
@@ -156,7 +159,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     column name is reserved.
     """
     names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
-    rows = common.numbered(docs.toDF(*names.values()), "row")
+    rows = common.numbered(docs, names, "row")
     sizes = rows.select(F.col(names["doc_id"]).alias("doc_id"), F.col(names["source"]).alias("source"), n_words(F.col(names["text"])).alias("size"), "row")
     taken = copies(common.written(sizes, "mix-sizes")).filter("copies > 0").select("row", "copies")
     out = rows.join(taken, "row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))

@@ -209,8 +209,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The rows that stay are marked by their numbers: texts are not shuffled.
     """
     names = [f"_c{i}" for i in range(len(docs.columns))]
-    at = {c: n for n, c in zip(names, docs.columns, strict=True)}
-    rows = common.numbered(docs.toDF(*names))
+    at = dict(zip(docs.columns, names, strict=True))
+    rows = common.numbered(docs, at)
     with common.scope():
         texts = rows.select("_row", F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text"))
         sets = common.written(nearcopies.with_sets(texts), "shingled")
