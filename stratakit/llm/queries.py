@@ -8,6 +8,7 @@ from stratakit.llm.langid import op10_language
 from stratakit.llm.linededup import OP9_SQL, op9_line_dedup
 from stratakit.llm.mixing import op8_mixing
 from stratakit.llm.quality import op4_quality
+from stratakit.llm.runs import op11_periodic_runs
 from stratakit.llm.sharding import op3_sharding
 from stratakit.llm.simhash import op5_simhash
 from stratakit.llm.tokens import op1_tokens
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_line_dedup": op9_line_dedup,
     "op10_language": op10_language,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_warc": OP7_SQL,
