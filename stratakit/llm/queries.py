@@ -6,6 +6,7 @@ from stratakit.llm.decontaminate import op6_decontaminate
 from stratakit.llm.hmm import op2_hmm
 from stratakit.llm.langid import op10_language
 from stratakit.llm.linededup import OP9_SQL, op9_line_dedup
+from stratakit.llm.lloyd import OP13_SQL, op13_centroids
 from stratakit.llm.mixing import op8_mixing
 from stratakit.llm.quality import op4_quality
 from stratakit.llm.runs import op11_periodic_runs
@@ -26,8 +27,10 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_language": op10_language,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_centroids": op13_centroids,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_warc": OP7_SQL,
     "op9_line_dedup": OP9_SQL,
+    "op13_centroids": OP13_SQL,
 }
