@@ -12,6 +12,7 @@ from stratakit.llm.quality import op4_quality
 from stratakit.llm.runs import op11_periodic_runs
 from stratakit.llm.sharding import op3_sharding
 from stratakit.llm.simhash import op5_simhash
+from stratakit.llm.suffixes import op12_suffix_dedup
 from stratakit.llm.tokens import op1_tokens
 from stratakit.llm.warc import OP7_SQL, op7_warc
 
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_language": op10_language,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_centroids": op13_centroids,
 }
 ORACLE_SQL: dict[str, str] = {
