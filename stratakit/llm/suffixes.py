@@ -165,7 +165,9 @@ def segments(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if k < PARTS:
         least = np.minimum(least[: len(least) - (PARTS - k)], least[PARTS - k :])
     start = np.flatnonzero(np.append(True, (least[1:] != least[:-1]) | (hashes[PARTS:] == least[1:])))
-    return least[start], start, np.diff(np.append(start, len(least)))
+    # Least hashes are small; mixed anew they are spread over all numbers again.
+    h = (least[start] ^ (least[start] >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return h ^ (h >> np.uint64(33)), start, np.diff(np.append(start, len(least)))
 
 
 def _texts(column: pa.Array) -> Iterator[bytes]:
@@ -187,28 +189,31 @@ def _hashes(batches: Iterator[pa.RecordBatch], n_slices: int) -> Iterator[pa.Rec
         yield bloom.dealt(np.concatenate(held), n_slices)
 
 
+def _digest(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
 def _pair(data: bytes) -> tuple[int, int]:
     d = hashlib.blake2b(data, digest_size=16).digest()
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-SUSPECT = "row long, doc_id long, start long, n long, h long, d1 long, d2 long, seg binary"
+def _batch(rows: list[tuple], names: str) -> pa.RecordBatch:
+    columns = [c.split() for c in names.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if t == "binary" else pa.int64()) for c, (_, t) in zip(zip(*rows, strict=True), columns, strict=True)], names=[c for c, _ in columns])
+
+
+SUSPECT = "h long, d long, row long, doc_id long, start long, n long"
 
 
 def suspects(docs: DataFrame) -> DataFrame:
-    """The segments of ``docs`` (row, doc_id, text) whose hash was seen twice, with a 128-bit digest and their bytes."""
+    """The segments of ``docs`` (row, doc_id, text) whose hash ``h`` was seen twice, with a digest ``d`` of their bytes: h and d tell segments apart."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_slices = bloom.slices_for(size * 2 // PARTS)
     folder = bloom.seen_twice(docs.select("text").mapInArrow(lambda b: _hashes(b, n_slices), bloom.DEALT))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again = bloom.Twice(folder, n_slices)
-
-        def rows(held: list[tuple]) -> pa.RecordBatch:
-            names = [c.split()[0] for c in SUSPECT.split(", ")]
-            types = [pa.int64()] * 7 + [pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
-
         for batch in batches:
             texts = list(_texts(batch.column(2)))
             cut = [segments(t) for t in texts]
@@ -217,18 +222,43 @@ def suspects(docs: DataFrame) -> DataFrame:
             for row, doc_id, text, (h, start, n) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, cut, strict=True):
                 own = np.flatnonzero(kept[at : at + len(h)])
                 at += len(h)
-                for k, s, m in zip(h[own].view(np.int64).tolist(), start[own].tolist(), n[own].tolist(), strict=True):
-                    seg = text[s : s + m - 1 + LENGTH]
-                    held.append((row, doc_id, s, m, k, *_pair(seg), seg))
-                if len(held) >= 20_000:
-                    yield rows(held)
+                held.extend((k, _digest(text[s : s + m - 1 + LENGTH]), row, doc_id, s, m) for k, s, m in zip(h[own].view(np.int64).tolist(), start[own].tolist(), n[own].tolist(), strict=True))
+                if len(held) >= 50_000:
+                    yield _batch(held, SUSPECT)
                     held = []
             if held:
-                yield rows(held)
+                yield _batch(held, SUSPECT)
 
     return docs.select("row", "doc_id", "text").mapInArrow(found, SUSPECT)
 
 
+SEGMENT = "h long, d long, known long, doc_id long, row long, start long, n long, seg binary"
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` segments (h, d, row, start, n) of ``docs`` with their bytes, read from the texts again."""
+    bytes_of = F.concat(*[F.unhex(F.lpad(F.hex(c), 16, "0")) for c in ("h", "d", "start", "n")])
+    folder = common.mark_rows(wanted.select("row", bytes_of.alias("key")), "row", payload="key")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = common.Marked(folder, 32)
+        for batch in batches:
+            held = []
+            for row, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
+                if own := marked.payloads(row):
+                    data = text.as_py()
+                    for key in own:
+                        h, d, start, n = (int.from_bytes(key[k : k + 8], "big", signed=True) for k in (0, 8, 16, 24))
+                        held.append((h, d, int(doc_id is not None), doc_id, row, start, n, data[start : start + n - 1 + LENGTH]))
+                if len(held) >= 20_000:
+                    yield _batch(held, SEGMENT)
+                    held = []
+            if held:
+                yield _batch(held, SEGMENT)
+
+    return docs.select("row", "doc_id", "text").mapInArrow(read, SEGMENT)
+
+
 def later_strings(groups: list[list[tuple]]) -> list[int]:
     """For each segment (known, doc_id, row, start, n, seg) of the groups, as bits, its strings that also start earlier in the group."""
     parts, n, kinds, begins = [], [], [], []
@@ -258,18 +288,20 @@ def later_strings(groups: list[list[tuple]]) -> list[int]:
     return out.tolist()
 
 
+BITS = "h long, d long, bits long"
+
+
 def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bits of the segments of rows (h, d1, d2, known, doc_id, row, start, n, seg) that come hash by hash."""
+    """Bits of segments that come hash by hash."""
     groups: list[list[tuple]] = []
     keys: list[tuple[int, int]] = []
     size, now = 0, None
 
     def solved() -> pa.RecordBatch:
-        d1, d2 = zip(*keys, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(later_strings(groups), pa.int64())], names=["d1", "d2", "bits"])
+        return _batch([(*k, bits) for k, bits in zip(keys, later_strings(groups), strict=True)], BITS)
 
     for batch in batches:
-        for h, d1, d2, *rest in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        for h, d, *rest in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             if h != now:
                 if size >= HELD_SYMBOLS:
                     yield solved()
@@ -277,20 +309,23 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 groups.append([])
                 now = h
             groups[-1].append(tuple(rest))
-            keys.append((d1, d2))
+            keys.append((h, d))
             size += len(rest[-1]) + 1
     if keys:
         yield solved()
 
 
+STRING = "w1 long, w2 long, known long, doc_id long, row long, at long, h long, d long, i long"
+
+
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(w1, w2, known, doc_id, row, at, d1, d2, i): each string of the segments by itself, with its digest."""
+    """Each string of the segments by itself, with its digest."""
     for batch in batches:
         for k in range(0, batch.num_rows, 500):
             out = []
-            for _, d1, d2, known, doc_id, row, start, n, seg in zip(*[c.to_pylist() for c in batch.slice(k, 500).columns], strict=True):
-                out.extend((*_pair(seg[i : i + LENGTH]), known, doc_id, row, start + i, d1, d2, i) for i in range(n))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["w1", "w2", "known", "doc_id", "row", "at", "d1", "d2", "i"])
+            for h, d, known, doc_id, row, start, n, seg in zip(*[c.to_pylist() for c in batch.slice(k, 500).columns], strict=True):
+                out.extend((*_pair(seg[i : i + LENGTH]), known, doc_id, row, start + i, h, d, i) for i in range(n))
+            yield _batch(out, STRING)
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,23 +357,21 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame) -> str:
     """The folder of the stretches that each row of ``docs`` (row, doc_id, text) loses, by ``common.mark_rows``; start and stop are 8 bytes each, the high one first."""
     with common.scope():
-        seen = common.written(suspects(docs).withColumn("known", F.col("doc_id").isNotNull().cast("long")), "suspects")
-        place = F.struct("known", "doc_id", "row", "start", "n", "h", "seg")
-        first = common.written(seen.groupBy("d1", "d2").agg(F.min(place).alias("f")).select("d1", "d2", "f.*"), "segments")
+        seen = common.written(suspects(docs), "suspects")
+        place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "row", "start", "n")
+        first = common.written(seen.groupBy("h", "d").agg(F.min(place).alias("f")).select("h", "d", "f.row", "f.start", "f.n"), "segments")
         counts = common.written(first.groupBy("h").agg(F.count("*").alias("_c")).filter("_c > 1"), "shared-hashes")
-        columns = ["h", "d1", "d2", "known", "doc_id", "row", "start", "n", "seg"]
-        shared = first.join(counts, "h")
-        cold = shared.filter(F.col("_c") <= HOT).select(*columns).repartition("h").sortWithinPartitions("h", "d1", "d2")
-        cold = cold.mapInArrow(_sorted_groups, "d1 long, d2 long, bits long")
-        strings = common.written(shared.filter(F.col("_c") > HOT).select(*columns).mapInArrow(_strings, "w1 long, w2 long, known long, doc_id long, row long, at long, d1 long, d2 long, i long"), "strings")
+        shared = common.written(texts_of(docs, first.join(counts.select("h"), "h")).join(counts, "h"), "shared-segments")
+        columns = [c.split()[0] for c in SEGMENT.split(", ")]
+        cold = shared.filter(F.col("_c") <= HOT).select(*columns).repartition("h").sortWithinPartitions("h", "d")
+        strings = common.written(shared.filter(F.col("_c") > HOT).select(*columns).mapInArrow(_strings, STRING), "strings")
         here = F.struct("known", "doc_id", "row", "at")
         least = common.written(strings.groupBy("w1", "w2").agg(F.min(here).alias("least"), F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "first-strings")
         hot = strings.join(least, ["w1", "w2"]).filter(~here.eqNullSafe(F.col("least")))
-        hot = hot.groupBy("d1", "d2").agg(F.bit_or(F.expr("shiftleft(1L, cast(i AS int))")).alias("bits"))
-        bits = common.written(cold.unionByName(hot), "later-strings")
-        judged = first.select("d1", "d2", F.col("row").alias("_row1"), F.col("start").alias("_start1")).join(bits, ["d1", "d2"], "left")
-        judged = common.written(judged, "judged-segments")
-        rows = seen.select("row", "start", "n", "d1", "d2").join(judged, ["d1", "d2"])
+        hot = hot.groupBy("h", "d").agg(F.bit_or(F.expr("shiftleft(1L, cast(i AS int))")).alias("bits"))
+        bits = common.written(cold.mapInArrow(_sorted_groups, BITS).unionByName(hot), "later-strings")
+        judged = first.select("h", "d", F.col("row").alias("_row1"), F.col("start").alias("_start1")).join(bits, ["h", "d"], "left")
+        rows = seen.select("row", "start", "n", "h", "d").join(judged, ["h", "d"])
         own = (F.col("row") == F.col("_row1")) & (F.col("start") == F.col("_start1"))
         rows = rows.select("row", "start", F.when(own, F.coalesce("bits", F.lit(0))).otherwise(F.expr("shiftleft(1L, cast(n AS int)) - 1")).alias("bits")).filter("bits <> 0")
         spans = rows.repartition("row").sortWithinPartitions("row", "start").mapInArrow(_spans, "row long, start long, stop long")
