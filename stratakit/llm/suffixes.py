@@ -30,7 +30,7 @@ LENGTH, GRAM = 100, 48
 #: Parts of a string; a segment has so many strings at most.
 PARTS = LENGTH - GRAM + 1
 #: A hash with more different segments is split by its strings. Symbols of a shard that are sorted together; hashes held by a task.
-HOT, HELD_SYMBOLS, HELD_HASHES = 256, 1 << 21, 1 << 20
+HOT, HELD_SYMBOLS, HELD_HASHES = 256, 1 << 19, 1 << 19
 
 
 def spread(lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
