@@ -22,7 +22,7 @@ def duck():
 
 def plain(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 9)
+        return None if math.isnan(v) else round(v, 9) + 0.0  # no negative zero
     if hasattr(v, "isoformat"):
         return v.isoformat(sep=" ")[:19]
     return tuple(map(plain, v)) if isinstance(v, list | tuple) else float(v) if type(v).__name__ == "Decimal" else v
