@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratakit.operators import density as D
 from stratakit.operators import graph as G
 from stratakit.operators import inference as I
+from stratakit.operators import search as S
 from stratakit.plans.base import query, table
 
 NODES_SQL = """
@@ -246,3 +248,13 @@ def community_carry_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = customers.select(F.col("c_nationkey").alias("group"), F.col("c_custkey").alias("member"))
     new = customers.select(F.when(F.col("c_custkey") % 9 == 0, 99).otherwise(F.col("c_nationkey")).alias("group"), F.col("c_custkey").alias("member"))
     return I.carry_ids(old, new, 0.500001).withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query()
+def cluster_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups by density of all vectors over their ten nearest; lists are made in blocks of vectors, each against all."""
+    usable = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
+    vectors = table(spark, sf_dir, "embeddings").filter(usable)
+    near = S.knn(vectors, vectors.select(F.col("vec_id").alias("query"), F.col("embedding").alias("q")), 11)
+    lists = near.filter("query <> vec_id").select(F.col("query").alias("id"), F.col("vec_id").alias("other"), F.greatest(1 - F.col("similarity"), F.lit(0.0)).alias("distance"))
+    return D.density_groups(vectors.select(F.col("vec_id").alias("id")), lists).select("id", "group", F.round("strength", 6).alias("strength"), F.round("stability", 4).alias("stability"))
