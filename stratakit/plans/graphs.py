@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from stratakit.operators import density as D
 from stratakit.operators import graph as G
 from stratakit.operators import inference as I
+from stratakit.operators import modularity as M
 from stratakit.operators import search as S
 from stratakit.plans.base import query, table
 
@@ -231,7 +232,8 @@ def community_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def community_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.regions(_co(spark, sf_dir))
+    """Two levels of communities by modularity of suppliers that share orders."""
+    return M.two_levels(_co(spark, sf_dir))
 
 
 @query(f"WITH {_CO_SQL} SELECT least(a % 7, b % 7) AS a, greatest(a % 7, b % 7) AS b, count(*) AS links, round(sum(weight), 5) AS weight FROM w WHERE a % 7 <> b % 7 GROUP BY ALL")

@@ -69,13 +69,6 @@ def test_page_text(spark):
     assert "Head" in r.t and "three" in r.t and not any(x in r.t for x in ("menu", "x()", "<", " c "))
 
 
-def test_regions_settle_on_dense_groups(spark):
-    groups = [range(8), range(20, 30), range(50, 56)]
-    pairs = [(a, b, 1.0) for g in groups for a in g for b in g if a < b] + [(7, 20, 0.1), (29, 50, 0.1)]
-    got = {r.node: r.region for r in I.regions(spark.createDataFrame(pairs, "a int, b int, weight double")).collect()}
-    assert [len({got[n] for n in g}) for g in groups] == [1, 1, 1] and len(set(got.values())) == 3
-
-
 def test_large_documents_and_many_copies_keep_their_pairs(spark):
     members = [(d, e) for d in (1, 2) for e in range(100)] + [(3, 0), (3, 1)]
     got = I.co_occurrence(spark.createDataFrame(members, "doc int, entity int"), block=16)
@@ -127,18 +120,3 @@ def test_a_stream_goes_on_after_a_restart(spark, tmp_path):
     write([(1, "web", "2024-01-01 13:00:00")])
     E.run_to_end(stream(), out, state)
     assert spark.read.parquet(out).filter("doc = 1 AND via = 'web'").count() == 2
-
-
-def test_regions_end_with_every_node_where_most_of_its_weight_is(spark):
-    """A chain of falling weights, a ring of equal ones and two dense groups with a weak link."""
-    pairs = [(i, i + 1, 61.0 - i) for i in range(60)] + [(100 + i, 100 + (i + 1) % 12, 1.0) for i in range(12)]
-    pairs += [(g + i, g + j, 1.0) for g in (200, 300) for i in range(6) for j in range(i)] + [(200, 300, 0.5), (200, 200, 9.0)]
-    got = {r.node: r.region for r in I.regions(spark.createDataFrame(pairs, "a int, b int, weight double")).collect()}
-    assert set(got) == {n for a, b, _ in pairs for n in (a, b)}
-    votes = {}
-    for a, b, w in pairs:
-        for x, y in ((a, b), (b, a)) if a != b else ():
-            votes.setdefault(x, {}).setdefault(got[y], 0.0)
-            votes[x][got[y]] += w
-    assert all(votes[n].get(r, 0.0) == max(votes[n].values()) for n, r in got.items())
-    assert len({got[200 + i] for i in range(6)}) == len({got[300 + i] for i in range(6)}) == 1 and got[200] != got[300]
