@@ -62,7 +62,7 @@ def _rounds(points: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame,
             waiting = at.filter("under < e").select("part", "e")
         taken = light.filter("e IS NOT NULL")
         if not taken.limit(1).count():
-            return first, reduce(DataFrame.unionByName, chains) if chains else waiting_none(light), level
+            return first, reduce(DataFrame.unionByName, chains) if chains else _no_chains(light), level
         mates = taken.select(F.col("part").alias("other"), F.col("e").alias("_e"))
         up = taken.join(mates, "other").filter(~((F.col("e") == F.col("_e")) & (F.col("part") < F.col("other"))))
         whole = merge_chains(settled(up.select(F.col("part").alias("id"), F.col("other").alias("into")), "joined-parts"), 62)
@@ -75,7 +75,7 @@ def _rounds(points: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame,
         parts, level = to.select(F.col("whole").alias("part")).distinct(), level + 1
 
 
-def waiting_none(light: DataFrame) -> DataFrame:
+def _no_chains(light: DataFrame) -> DataFrame:
     """No chains, with their columns."""
     return light.select(F.lit(0).alias("level"), "part", "e", F.col("e").alias("under")).filter("false")
 

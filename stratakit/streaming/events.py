@@ -1,6 +1,6 @@
 """Structured Streaming over append logs: ledgers, budgets, rate-limited opens, and windows by event time.
 
-Windows and watermarks go beyond the reference, which has none; they come with
+Windows and watermarks come with
 Spark. Each function takes a DataFrame that may stream and returns one.
 """
 
