@@ -123,22 +123,61 @@ def _flat(df: DataFrame, key: str, to: str, out: str, rows: DataFrame) -> DataFr
     return rows.join(flat.select(F.col("id").alias(key), F.col("cid").alias("_end")), key, "left").withColumn(out, F.coalesce("_end", key)).drop("_end")
 
 
+def _values(kin: DataFrame) -> DataFrame:
+    """(c, value) of clusters (c, up, s): the greater of its own ``s`` and what those right below are worth together.
+
+    In a round all leaves are valued and go, and a chain of clusters with one
+    below each, worth at least ``fs`` and else ``fb`` more than its lower end, is
+    made one step. So rounds follow the logarithm of the clusters, however deep
+    their tree is. ``gs`` and ``gb`` say the same of the steps left out above a
+    cluster.
+    """
+    none = float("-inf")
+    left = kin.select("c", "up", "s", F.lit(0.0).alias("b"), F.lit(none).alias("gs"), F.lit(0.0).alias("gb"))
+    valued, chains = [], []
+    while True:
+        kids = left.filter("up IS NOT NULL").groupBy(F.col("up").alias("c")).agg(F.count("*").alias("m"))
+        counted = settled(left.join(kids, "c", "left"), "counted")
+        value = F.when(F.round("b", 9) > F.round("s", 9), F.col("b")).otherwise(F.col("s"))
+        ready = counted.filter("m IS NULL").select("c", "up", value.alias("value"), F.greatest("gs", F.col("gb") + value).alias("_given"))
+        valued.append(ready.select("c", "value"))
+        given = ready.filter("up IS NOT NULL").groupBy(F.col("up").alias("c")).agg(F.sum("_given").alias("_b"), F.count("*").alias("_n"))
+        rest = counted.filter("m IS NOT NULL").join(given, "c", "left")
+        rest = settled(rest.select("c", "up", "s", (F.col("b") + F.coalesce("_b", F.lit(0.0))).alias("b"), "gs", "gb", (F.col("m") - F.coalesce("_n", F.lit(0))).alias("m")), "left")
+        if rest.isEmpty():
+            break
+        single = rest.filter("m = 1")
+        below = rest.filter("up IS NOT NULL").select(F.col("up").alias("c"), F.col("c").alias("to"), F.col("gs").alias("_s"), F.col("gb").alias("_b"))
+        steps = single.join(below, "c").select("c", "to", F.greatest("s", F.col("b") + F.col("_s")).alias("fs"), (F.col("b") + F.col("_b")).alias("fb"))
+        while True:
+            steps = settled(steps, "steps")
+            on = steps.select(F.col("c").alias("to"), F.col("to").alias("_to"), F.col("fs").alias("_fs"), F.col("fb").alias("_fb"))
+            if steps.join(on, "to", "left_semi").isEmpty():
+                break
+            steps = steps.join(on, "to", "left").select("c", F.coalesce("_to", "to").alias("to"), F.greatest("fs", F.col("fb") + F.coalesce("_fs", F.lit(none))).alias("fs"), (F.col("fb") + F.coalesce("_fb", F.lit(0.0))).alias("fb"))
+        chains.append(steps)
+        ends = single.join(single.select(F.col("c").alias("up")), "up", "left_anti").select("c", F.col("up").alias("_up"), F.col("gs").alias("_s"), F.col("gb").alias("_b"))
+        ends = steps.join(ends, "c").select(F.col("to").alias("c"), "_up", F.greatest("_s", F.col("_b") + F.col("fs")).alias("_gs"), (F.col("_b") + F.col("fb")).alias("_gb"))
+        moved = rest.filter("m <> 1").join(ends, "c", "left")
+        left = moved.select("c", F.when(F.col("_gb").isNull(), F.col("up")).otherwise(F.col("_up")).alias("up"), "s", "b", F.coalesce("_gs", "gs").alias("gs"), F.coalesce("_gb", "gb").alias("gb"))
+    out = settled(reduce(DataFrame.unionByName, valued), "values")
+    for steps in reversed(chains):
+        inner = steps.join(out.withColumnRenamed("c", "to"), "to").select("c", F.greatest("fs", F.col("fb") + F.col("value")).alias("value"))
+        out = settled(out.unionByName(inner), "values")
+    return out
+
+
 def _chosen(clusters: DataFrame) -> DataFrame:
     """(c, top): each cluster (c, up, stability) with the chosen one it belongs to, null where none is.
 
-    From the deepest up a cluster is chosen unless those below last longer
-    together; of chosen ones above each other the uppermost stands. Rounds follow
-    the depth of the tree of clusters, and end when all are valued.
+    A cluster is chosen unless those below last longer together; of chosen ones
+    above each other the uppermost stands.
     """
     kin = settled(clusters.select("c", "up", "stability"), "clusters")
-    left, valued = kin, kin.select("c", "up", F.col("stability").alias("value"), F.lit(False).alias("chosen")).filter("false")
-    while left.limit(1).count():
-        ready = left.join(left.select(F.col("up").alias("c")).distinct(), "c", "left_anti")
-        below = valued.groupBy(F.col("up").alias("c")).agg(F.sum("value").alias("_below"))
-        now = ready.join(below, "c", "left").withColumn("_split", F.coalesce(F.round("_below", 9) > F.round("stability", 9), F.lit(False)))
-        now = settled(now.select("c", "up", F.when(F.col("_split"), F.col("_below")).otherwise(F.col("stability")).alias("value"), (~F.col("_split") & (F.round("stability", 9) > 0)).alias("chosen")), "valued")
-        valued = settled(valued.unionByName(now), "values")
-        left = settled(left.join(now.select("c"), "c", "left_anti"), "left")
+    worth = _values(kin.withColumnRenamed("stability", "s"))
+    below = kin.join(worth, "c").filter("up IS NOT NULL").groupBy(F.col("up").alias("c")).agg(F.sum("value").alias("_below"))
+    split = F.coalesce(F.round("_below", 9) > F.round("stability", 9), F.lit(False))
+    valued = kin.join(below, "c", "left").select("c", "up", (~split & (F.round("stability", 9) > 0)).alias("chosen"))
     at = settled(valued.select("c", "up", F.when(F.col("chosen"), F.col("c")).alias("top")), "tops")
     while True:
         above = at.select(F.col("c").alias("up"), F.col("up").alias("_up"), F.col("top").alias("_top"))

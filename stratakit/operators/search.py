@@ -128,7 +128,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 #: Query vectors compared at a time, and vectors they are compared with at a time.
-QUERY_BLOCK, VECTOR_BLOCK = 2048, 1024
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 1024
 
 
 def _nearest(ids: np.ndarray, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,6 +139,27 @@ def _nearest(ids: np.ndarray, found: np.ndarray, k: int) -> tuple[np.ndarray, np
     return np.take_along_axis(ids, best, 1), np.take_along_axis(found, best, 1)
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Lists of one length as rows."""
+    if column.null_count:
+        return np.array(column.to_pylist(), np.float64)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _nearer(best: np.ndarray, scores: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``_nearest`` of the rows held (``best``, ``scores``, sorted so) and those of ``ids`` with no nan in ``score``: only scores that reach a row's last place are sorted."""
+    least = scores[:, -1] if scores.shape[1] == k else np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(score), -np.inf)
+    row, at = np.nonzero(score >= least[:, None])
+    if not len(row):
+        return best, scores
+    held, width = np.repeat(np.arange(len(best)), best.shape[1]), min(k, best.shape[1] + score.shape[1])
+    row, i, x = np.concatenate([held, row]), np.concatenate([best.ravel(), ids[at]]), np.concatenate([scores.ravel(), score[row, at]])
+    order = np.lexsort((i, -x, row))
+    row, i, x = row[order], i[order], x[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return i[place < k].reshape(len(best), width), x[place < k].reshape(len(best), width)
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query, key, similarity, place): the k nearest of each query vector by cosine, exactly.
 
@@ -151,7 +172,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vec
     for b in range(blocks):
         block = queries.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).select("query", F.col("q").cast("array<double>").alias("q")).toArrow()
         asked = block.column("query").to_numpy()
-        matrix = np.array(block.column("q").to_pylist(), np.float64).reshape(len(asked), -1)
+        matrix = _matrix(block.column("q").combine_chunks())
         held = spark.sparkContext.broadcast((asked, matrix / np.linalg.norm(matrix, axis=1, keepdims=True)))
 
         def compare(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -160,11 +181,15 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vec
             for batch in batches:
                 for at in range(0, batch.num_rows, VECTOR_BLOCK):
                     part = batch.slice(at, VECTOR_BLOCK)
-                    own = np.array(part.column(1).to_pylist(), np.float64)
+                    own = _matrix(part.column(1))
                     # Equal vectors must score equally whatever their place in the block.
-                    score = np.round(matrix @ (own / np.linalg.norm(own, axis=1, keepdims=True)).T, 12)
-                    ids = np.broadcast_to(part.column(0).to_numpy(), score.shape)
-                    best, scores = _nearest(np.concatenate([best, ids], axis=1), np.concatenate([scores, score], axis=1), k)
+                    score = matrix @ (own / np.linalg.norm(own, axis=1, keepdims=True)).T
+                    score = np.round(score, 12, out=score)
+                    ids, whole = part.column(0).to_numpy(), not (np.isnan(score[:, :1]).any() or np.isnan(score[:1]).any() or np.isnan(scores).any())
+                    if whole:
+                        best, scores = _nearer(best, scores, ids, score, k)
+                    else:
+                        best, scores = _nearest(np.concatenate([best, np.broadcast_to(ids, score.shape)], axis=1), np.concatenate([scores, score], axis=1), k)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, best.shape[1])), pa.array(best.ravel()), pa.array(scores.ravel())], names=["query", key, "similarity"])
 
         if len(asked):
