@@ -128,9 +128,15 @@ def into_survivor(entities: DataFrame, by: list[str], keep: Column | None = None
 
 def subtype_folds(entities: DataFrame, closure: DataFrame) -> DataFrame:
     """(id, into): an entity (id, key, type) into the one of the same key whose type is below its own; ``closure`` (name, ancestor)."""
-    a, b = entities.select("id", "key", "type"), entities.select(F.col("id").alias("_i"), "key", F.col("type").alias("_t"))
-    below = closure.filter("name <> ancestor").select(F.col("name").alias("_t"), F.col("ancestor").alias("type"))
-    return a.join(b, "key").filter("id <> _i").join(below, ["_t", "type"]).groupBy("id").agg(F.min("_i").alias("into"))
+    two = lambda rows: rows.withColumn("_r", F.dense_rank().over(Window.partitionBy("key", "type").orderBy("id"))).filter("_r <= 2").select("key", "type", "id").distinct()
+    below = closure.filter("name <> ancestor").select(F.col("name").alias("type"), F.col("ancestor").alias("_up")).distinct()
+    # Of a name and type the two least are enough: the least, and another for a thing that is the least itself.
+    named = two(entities.select("key", "type", "id").filter("key IS NOT NULL AND id IS NOT NULL"))
+    named = two(named.join(below, "type").select("key", F.col("_up").alias("type"), "id"))
+    least = named.groupBy("key", "type").agg(F.min("id").alias("_a"), F.max("id").alias("_b"))
+    into = F.when(F.col("id") != F.col("_a"), F.col("_a")).when(F.col("id") != F.col("_b"), F.col("_b"))
+    found = entities.join(settled(least, "least-below"), ["key", "type"]).select("id", into.alias("into")).filter("into IS NOT NULL")
+    return found.groupBy("id").agg(F.min("into").alias("into"))
 
 
 def tiers(plans: list[tuple[str, DataFrame]]) -> DataFrame:
