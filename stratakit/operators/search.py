@@ -250,13 +250,55 @@ def domain_prior(hits: DataFrame, library: DataFrame) -> DataFrame:
     return out.withColumn("prior", F.when(F.col("voted").isNotNull(), 1 / (RRF_K + k)).otherwise(F.lit(0.0)))
 
 
+def _alone(passages: list[tuple[int, list[str]]], n: int) -> Iterator[tuple[int, str]]:
+    """(chunk, phrase) of one document's passages (chunk, words): the first run of n words that no other chunk holds."""
+    held: dict[tuple[str, ...], tuple[int | None, int]] = {}
+    for chunk, words in passages:
+        for at, run in enumerate(zip(*(words[i:] for i in range(n)), strict=False)):
+            known = held.get(run)
+            if known is None:
+                held[run] = chunk, at
+            elif known[0] != chunk:
+                held[run] = None, at
+            elif at < known[1]:
+                held[run] = chunk, at
+    first: dict[int, tuple[int, str]] = {}
+    for run, (chunk, at) in held.items():
+        if chunk is not None and (chunk not in first or (at, " ".join(run)) < first[chunk]):
+            first[chunk] = at, " ".join(run)
+    return ((chunk, phrase) for chunk, (_, phrase) in first.items())
+
+
 def unique_phrases(chunks: DataFrame, n: int) -> DataFrame:
-    """(doc_id, chunk, phrase): the first run of n words of a passage that no other passage of its document holds."""
-    words = chunks.select("doc_id", "chunk", T.tokens(F.col("text")).alias("_t")).filter(F.size("_t") >= max(n, 8))
-    starts = F.sequence(F.lit(0), F.size("_t") - n)
-    runs = words.select("doc_id", "chunk", F.posexplode(F.transform(starts, lambda i: F.array_join(F.slice("_t", i + 1, n), " "))).alias("at", "phrase"))
-    once = runs.groupBy("doc_id", "phrase").agg(F.count_distinct("chunk").alias("_n"), F.min("chunk").alias("chunk"), F.min("at").alias("at")).filter("_n = 1")
-    return once.groupBy("doc_id", "chunk").agg(F.min_by("phrase", "at").alias("phrase"))
+    """(doc_id, chunk, phrase): the first run of n words of a passage that no other passage of its document holds.
+
+    Passages are dealt by document; a task holds the runs of one document at a time.
+    """
+    words = chunks.select("doc_id", "chunk", "text").filter("chunk IS NOT NULL").repartition("doc_id").sortWithinPartitions("doc_id")
+    words = words.select("doc_id", F.col("chunk").cast("long").alias("chunk"), T.tokens(F.col("text")).alias("_t"))
+    kind = words.schema["doc_id"].dataType
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, passages, out = None, [], []
+        for batch in batches:
+            for doc, chunk, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if passages and doc != own:
+                    out += [(own, *x) for x in _alone(passages, n)]
+                    passages = []
+                own = doc
+                if len(t) >= max(n, 8):
+                    passages.append((chunk, t))
+            if out:
+                yield made(out, batch.schema.field(0).type)
+                out = []
+        if passages:
+            yield made([(own, *x) for x in _alone(passages, n)], batch.schema.field(0).type)
+
+    def made(rows: list[tuple], of: pa.DataType) -> pa.RecordBatch:
+        docs, own, phrases = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(docs, of), pa.array(own, pa.int64()), pa.array(phrases, pa.string())], names=["doc_id", "chunk", "phrase"])
+
+    return words.mapInArrow(read, f"doc_id {kind.simpleString()}, chunk long, phrase string")
 
 
 def evaluate(ranked: DataFrame, expected: DataFrame) -> DataFrame:

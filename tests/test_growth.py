@@ -34,6 +34,23 @@ def test_subtypes_are_found_without_pairs_of_a_name(spark, monkeypatch):
     assert written and written[0].count() <= 3 * 5
 
 
+def test_unique_phrases_shuffle_passages_alone(spark):
+    draw = random.Random(4)
+    rows = [(d, c, " ".join(draw.choice("pqr") for _ in range(draw.randrange(5, 16)))) for d in [*range(6), 2, None] for c in range(5)]
+    runs: dict[tuple, list] = {}
+    for d, c, text in rows:
+        t = text.split()
+        for i in range(len(t) - 2 if len(t) >= 8 else 0):
+            runs.setdefault((d, " ".join(t[i : i + 3])), []).append((c, i))
+    want: dict[tuple, tuple] = {}
+    for (d, p), at in runs.items():
+        if len({c for c, _ in at}) == 1:
+            want[d, at[0][0]] = min(want.get((d, at[0][0]), (99, "")), (min(i for _, i in at), p))
+    got = S.unique_phrases(spark.createDataFrame(rows, "doc_id long, chunk long, text string"), 3)
+    assert plan(got).count("Exchange") == 1
+    assert {(r.doc_id, r.chunk): r.phrase for r in got.collect()} == {k: p for k, (_, p) in want.items()}
+
+
 def test_nearest_vectors_with_ties_and_strange_ones(spark):
     draw = random.Random(5)
     rows = [(i, [float(draw.randrange(-2, 3)) for _ in range(3)] if i % 9 else [1.0, 2.0, -1.0]) for i in range(90)]
