@@ -48,22 +48,36 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
+def counted(tokens: Column) -> Column:
+    """(term, tf) of a text's tokens: counts of equal neighbours in their order."""
+    bound = lambda of, then: F.element_at(F.transform(F.array(of), then), 1)
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return bound(starts, lambda p: F.transform(p, lambda at, j: F.struct(F.get(s, at).alias("term"), (F.coalesce(F.get(p, j + 1), F.size(s)) - at).cast("long").alias("tf"))))
+
+    return bound(F.sort_array(tokens), lambda s: F.when(F.size(s) > 0, runs(s)))
+
+
 def stored_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Postings (term, key, tf, dl) and the one row of statistics (_n, _avg) of texts read from files, as tables in the shared folder.
 
-    Postings are ranged by term, so a query reads only the row groups of its own
-    terms. They are built once in an application for a set of files with their
-    sizes and times; files that change are indexed anew.
+    A task counts the words of its own texts and writes their postings in the
+    order of terms: nothing is shuffled, and a query reads of each file only the
+    parts that may hold its terms. They are built once in an application for a set
+    of files with their sizes and times; files that change are indexed anew.
     """
     spark = docs.sparkSession
     stamp = docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
     stamp = stamp.agg(F.count("*"), F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)"))).first()
     mark = (spark.sparkContext.applicationId, key, text, *stamp)
     if mark not in _indexes:
-        words = settled(docs.select(key, T.tokens(F.col(text)).alias("_t")), "tokenised")
-        index = words.select(key, F.size("_t").alias("dl"), F.explode("_t").alias("term")).groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
-        index = settled(index.repartitionByRange("term").sortWithinPartitions("term"), "postings")
-        _indexes[mark] = index, settled(words.agg(F.count("*").alias("_n"), F.avg(F.size("_t")).alias("_avg")), "index-statistics")
+        words = docs.select(key, F.element_at(F.transform(F.array(T.tokens(F.col(text))), lambda t: F.struct(F.size(t).alias("dl"), counted(t).alias("t"))), 1).alias("_w"))
+        index = words.select(key, F.col("_w.dl").alias("dl"), F.inline("_w.t")).select("term", key, "dl", "tf")
+        index = settled(index.sortWithinPartitions("term"), "postings")
+        n = docs.agg(F.count("*").alias("_n"))
+        stats = index.agg(F.sum("tf").alias("_all")).join(n).select("_n", (F.coalesce("_all", F.lit(0)) / F.nullif(F.col("_n"), F.lit(0))).alias("_avg"))  # one row each
+        _indexes[mark] = index, settled(stats, "index-statistics")
     return _indexes[mark]
 
 

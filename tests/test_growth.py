@@ -51,6 +51,18 @@ def test_unique_phrases_shuffle_passages_alone(spark):
     assert {(r.doc_id, r.chunk): r.phrase for r in got.collect()} == {k: p for k, (_, p) in want.items()}
 
 
+def test_an_index_is_written_without_a_shuffle(spark, tmp_path, monkeypatch):
+    texts = ["b a b", "", None, "a", "a", " ".join(f"w{i % 7}" for i in range(40))]
+    rows = [(i // 2, t) for i, t in enumerate(texts)]  # two texts of each id
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    plans = []
+    monkeypatch.setattr(S, "settled", lambda df, name="step", real=S.settled: plans.append((name, plan(df))) or real(df, name))
+    postings, stats = S.stored_index(spark.read.parquet(f"{tmp_path}/docs"))
+    assert sorted(tuple(r) for r in postings.select("term", "doc_id", "dl", "tf").collect()) == sorted((w, d, len(t.split()), t.split().count(w)) for d, t in rows if t for w in set(t.split()))
+    assert tuple(stats.first()) == (6, 45 / 6)
+    assert all("Exchange" not in p for name, p in plans if name == "postings")
+
+
 def test_nearest_vectors_with_ties_and_strange_ones(spark):
     draw = random.Random(5)
     rows = [(i, [float(draw.randrange(-2, 3)) for _ in range(3)] if i % 9 else [1.0, 2.0, -1.0]) for i in range(90)]
