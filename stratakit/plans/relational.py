@@ -155,11 +155,12 @@ def rel_asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT p_partkey, s_suppkey FROM part JOIN supplier ON s_acctbal BETWEEN p_retailprice - 20 AND p_retailprice + 20""")
 def rel_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A band join through buckets as wide as the band: each row meets the three buckets around it."""
-    width = 40.0
+    """A band join through buckets as wide as the band: each row meets the buckets around it. Parts of a bucket are dealt among ``deals``, each with its suppliers, so that tasks share the pairs."""
+    width, deals, n = 40.0, 32, int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", F.explode(F.sequence(F.floor((F.col("p_retailprice") - 20) / width), F.floor((F.col("p_retailprice") + 20) / width))).alias("b"))
-    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", F.floor(F.col("s_acctbal") / width).alias("b"))
-    return parts.join(suppliers, "b").filter(F.col("s_acctbal").between(F.col("p_retailprice") - 20, F.col("p_retailprice") + 20)).select("p_partkey", "s_suppkey")
+    parts = parts.withColumn("d", F.pmod(F.xxhash64("p_partkey"), F.lit(deals)).cast("int")).repartition(n, "b", "d")
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", F.floor(F.col("s_acctbal") / width).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("d"))
+    return parts.join(suppliers.hint("merge"), ["b", "d"]).filter(F.col("s_acctbal").between(F.col("p_retailprice") - 20, F.col("p_retailprice") + 20)).select("p_partkey", "s_suppkey")
 
 
 @query("SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'purchase') AS purchase, count(*) FILTER (event_type = 'view') AS view FROM events GROUP BY user_id")

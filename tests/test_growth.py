@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from stratakit.operators import knowledge as K
 from stratakit.operators import search as S
+from stratakit.plans import registry
+from tests.conftest import SF
 
 
 def plan(df) -> str:
@@ -73,3 +75,8 @@ def test_nearest_vectors_with_ties_and_strange_ones(spark):
     for q, v in rows[:5]:
         want = [i for _, i in sorted((-cosine(v, w), i) for i, w in rows)[:7]]
         assert [r.vec_id for r in got.filter(F.col("query") == q).orderBy("place").collect()] == want
+
+
+def test_the_band_join_spreads_its_pairs(spark):
+    got = registry.QUERIES["rel_range_join"](spark, SF)
+    assert "Broadcast" not in plan(got) and got.rdd.getNumPartitions() >= 4
