@@ -8,6 +8,7 @@ from contextlib import redirect_stdout
 
 from pyspark.sql import functions as F
 
+from stratakit.operators import inference as I
 from stratakit.operators import knowledge as K
 from stratakit.operators import search as S
 from stratakit.plans import registry
@@ -84,3 +85,18 @@ def test_the_band_join_spreads_its_pairs(spark):
 
 def test_premises_are_joined_without_other_edges(spark):
     assert "% 50) = 0" in plan(registry.QUERIES["graph_why"](spark, SF))
+
+
+def test_tasks_that_make_pairs_follow_their_number(spark, monkeypatch):
+    monkeypatch.setattr(I, "TASK_PAIRS", 10)
+    rows = [(d, (d * 7 + i * i) % 23) for d in range(20) for i in range(5)] + [(99, 1000), (3, None), (None, 4)]
+    want: dict[tuple, float] = {}
+    docs = {d: {e for d2, e in rows if d2 == d and e not in (1000, None)} for d in range(20)}
+    for own in docs.values():
+        for a in own:
+            for b in own:
+                if a < b:
+                    want[a, b] = want.get((a, b), 0.0) + 1 / (len(own) - 1)
+    got = I.co_occurrence(spark.createDataFrame(rows, "doc long, entity long"))
+    assert got.rdd.getNumPartitions() > 4
+    assert {(r.a, r.b): round(r.weight, 9) for r in got.collect()} == {k: round(w, 9) for k, w in want.items()}
