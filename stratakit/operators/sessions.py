@@ -36,15 +36,19 @@ def nearest(points: DataFrame, towns: DataFrame, reach_km: float = 30.0) -> Data
 
     Points meet the towns of the one-degree cells around theirs, as many to each
     side as the reach spans at their latitude, across the date line; an
-    equi-join on cells, so no pair is made beyond.
+    equi-join on cells, so no pair is made beyond. Points at one place are
+    compared once, and of towns at one place the least alone is.
     """
+    held, points = points.select("id", "lat", "lon"), points.select("lat", "lon").distinct()
+    towns = towns.groupBy("lat", "lon").agg(F.min("town").alias("town"))
     rows = F.ceil(F.lit(reach_km / 111.0)).cast("int")
     wide = F.least(F.lit(180), F.ceil(reach_km / (111.0 * F.greatest(F.cos(F.radians(F.least(F.lit(89.0), F.abs("lat") + 1))), F.lit(0.01))))).cast("int")
     cells = points.withColumn("_r", F.explode(F.sequence((F.floor("lat") - rows).cast("int"), (F.floor("lat") + rows).cast("int"))))
     cells = cells.withColumn("_c", F.explode(F.array_distinct(F.transform(F.sequence((F.floor("lon") - wide).cast("int"), (F.floor("lon") + wide).cast("int")), lambda c: F.pmod(c + 180, F.lit(360))))))
     placed = towns.select("town", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.floor("lat").cast("int").alias("_r"), F.pmod(F.floor("lon").cast("int") + 180, F.lit(360)).alias("_c"))
     near = cells.join(placed, ["_r", "_c"]).withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))).filter(F.col("km") <= reach_km)
-    return near.groupBy("id").agg(F.min_by("town", F.struct("km", "town")).alias("town"), F.min("km").alias("km"))
+    best = near.groupBy("lat", "lon").agg(F.min(F.struct("km", "town")).alias("_b"))
+    return held.join(best, ["lat", "lon"]).groupBy("id").agg(F.min("_b").alias("_b")).select("id", "_b.town", "_b.km")
 
 
 def brier(rows: DataFrame) -> DataFrame:

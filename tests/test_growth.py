@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from stratakit.operators import inference as I
 from stratakit.operators import knowledge as K
 from stratakit.operators import search as S
+from stratakit.operators import sessions as N
 from stratakit.plans import registry
 from tests.conftest import SF
 
@@ -100,3 +101,11 @@ def test_tasks_that_make_pairs_follow_their_number(spark, monkeypatch):
     got = I.co_occurrence(spark.createDataFrame(rows, "doc long, entity long"))
     assert got.rdd.getNumPartitions() > 4
     assert {(r.a, r.b): round(r.weight, 9) for r in got.collect()} == {k: round(w, 9) for k, w in want.items()}
+
+
+def test_points_at_one_place_are_compared_once(spark):
+    points = [(i, 10.0 + i % 2, 179.9) for i in range(40)] + [(50, 60.0, 0.0), (51, None, 1.0)]
+    towns = [(t, 10.0, -179.9) for t in (9, 8, 12)] + [(3, 10.9, 179.5), (4, -60.0, 0.0)]
+    got = N.nearest(spark.createDataFrame(points, "id long, lat double, lon double"), spark.createDataFrame(towns, "town long, lat double, lon double"), 60.0)
+    assert plan(got).count("keys=[lat") >= 2
+    assert {r.id: r.town for r in got.collect()} == {i: 3 if i % 2 else 8 for i in range(40)}
