@@ -115,13 +115,19 @@ def bm25(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "te
 
 
 def bm25_batch(index: tuple[DataFrame, DataFrame], queries: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(query, key, score) for many queries (query, term) at once: their terms meet the postings once."""
+    """(query, key, score) for many queries (query, term) at once: their terms meet the postings once.
+
+    Postings of their terms are shuffled by text, and meet the queries there if
+    these are few enough to be sent to all tasks, so that no score is shuffled.
+    """
     postings, stats = index
     n, mean = stats.first()
-    held = postings.join(queries.select("term").distinct(), "term", "left_semi")
+    asked = settled(queries.distinct(), "queries")
+    held = postings.join(asked.select("term").distinct(), "term", "left_semi")
     df = held.groupBy("term").agg(F.count("*").alias("df"))
+    asked = settled(asked.join(df, "term"), "query-terms")
     parts = idf(F.lit(n), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))
-    return queries.distinct().join(df, "term").join(postings, "term").groupBy("query", key).agg(F.sum(parts).alias("score"))
+    return held.repartition(key).join(asked, "term").groupBy("query", key).agg(F.sum(parts).alias("score"))
 
 
 def phrase(docs: DataFrame, words: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:

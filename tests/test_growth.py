@@ -109,3 +109,15 @@ def test_points_at_one_place_are_compared_once(spark):
     got = N.nearest(spark.createDataFrame(points, "id long, lat double, lon double"), spark.createDataFrame(towns, "town long, lat double, lon double"), 60.0)
     assert plan(got).count("keys=[lat") >= 2
     assert {r.id: r.town for r in got.collect()} == {i: 3 if i % 2 else 8 for i in range(40)}
+
+
+def test_scores_of_many_queries_are_not_shuffled(spark, tmp_path):
+    rows = [(i, " ".join(f"w{(i * k) % 11}" for k in range(1, 9))) for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    asked = [(q, f"w{w}") for q in range(3) for w in range(q, 11, 3)]
+    got = S.bm25_batch(S.stored_index(docs), spark.createDataFrame(asked + asked[:2], "query long, term string"))
+    assert "hashpartitioning(query" not in plan(got)
+    for q in range(3):
+        want = {r.doc_id: r.score for r in S.bm25(docs, [w for q2, w in asked if q2 == q]).collect()}
+        assert {r.doc_id: round(r.score, 9) for r in got.filter(F.col("query") == q).collect()} == {d: round(s, 9) for d, s in want.items()}
