@@ -5,7 +5,8 @@ that are equal have the same least hash of their ``GRAM``-byte parts, so a text
 cut into segments, each of the strings whose least part is one and the same; a
 segment whose hash a filter has seen twice is written. Of equal segments the first
 stands for all. The different segments of one hash are a group, many groups a
-shard, whose suffix array shows which strings of them are equal.
+shard, whose suffix array shows which strings of them are equal. A group of very
+many is first split by how far before the least part strings start.
 
 The suffix arrays of a shard's groups are built side by side: suffixes are classed
 as smaller or larger than the next, leftmost-smaller substrings are sorted by
@@ -29,8 +30,10 @@ from stratakit.llm import bloom, common
 LENGTH, GRAM = 100, 48
 #: Parts of a string; a segment has so many strings at most.
 PARTS = LENGTH - GRAM + 1
-#: A hash with more different segments is split by its strings. Symbols of a shard that are sorted together; hashes held by a task.
+#: A group of more different segments is split. Symbols of a shard that are sorted together; hashes held by a task.
 HOT, HELD_SYMBOLS, HELD_HASHES = 256, 1 << 19, 1 << 19
+#: A segment of more copies is broadcast when copies are told from the first; those are at most one in so many of all.
+COPIES = 10_000
 
 
 def spread(lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -289,43 +292,103 @@ def later_strings(groups: list[list[tuple]]) -> list[int]:
 
 
 BITS = "h long, d long, bits long"
+#: Segments or parts of them in groups (g1, g2) of those that can share strings; the first string is the ``shift``-th of the segment (h, d).
+MEMBER = "g1 long, g2 long, h long, d long, shift long, known long, doc_id long, row long, start long, n long, seg binary"
 
 
 def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bits of segments that come hash by hash."""
+    """Bits of members that come group by group."""
     groups: list[list[tuple]] = []
-    keys: list[tuple[int, int]] = []
+    keys: list[list[tuple[int, int, int]]] = []
     size, now = 0, None
 
-    def solved() -> pa.RecordBatch:
-        return _batch([(*k, bits) for k, bits in zip(keys, later_strings(groups), strict=True)], BITS)
+    def solved() -> Iterator[pa.RecordBatch]:
+        if many := [k for k, g in enumerate(groups) if len(g) > 1]:
+            bits = later_strings([groups[k] for k in many])
+            yield _batch([(h, d, b << shift) for (h, d, shift), b in zip([key for k in many for key in keys[k]], bits, strict=True)], BITS)
 
     for batch in batches:
-        for h, d, *rest in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if h != now:
+        for g1, g2, h, d, shift, *rest in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if (g1, g2) != now:
                 if size >= HELD_SYMBOLS:
-                    yield solved()
+                    yield from solved()
                     groups, keys, size = [], [], 0
                 groups.append([])
-                now = h
+                keys.append([])
+                now = g1, g2
             groups[-1].append(tuple(rest))
-            keys.append((h, d))
+            keys[-1].append((h, d, shift))
             size += len(rest[-1]) + 1
-    if keys:
-        yield solved()
+    yield from solved()
 
 
-STRING = "w1 long, w2 long, known long, doc_id long, row long, at long, h long, d long, i long"
+#: A range of bytes before the least part is split into so many.
+RANGES = 4
+PART = f"{MEMBER}, lo long, hi long, c1 long, c2 long"
 
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each string of the segments by itself, with its digest."""
+def least_place(seg: bytes) -> int:
+    """Where a segment's least part stands."""
+    hashes = part_hashes(np.frombuffer(seg, np.uint8))
+    return len(hashes) - 1 - int(np.argmin(hashes[::-1]))
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members (their strings start ``lo`` to ``hi`` bytes before the least part) in up to ``RANGES`` parts by where strings start.
+
+    All strings of a range hold the least part, ``lo`` bytes before it and so many
+    behind it that the last of the range has: parts that share a string are in one
+    group. c1 and c2 tell the bytes of parts apart.
+    """
     for batch in batches:
-        for k in range(0, batch.num_rows, 500):
-            out = []
-            for h, d, known, doc_id, row, start, n, seg in zip(*[c.to_pylist() for c in batch.slice(k, 500).columns], strict=True):
-                out.extend((*_pair(seg[i : i + LENGTH]), known, doc_id, row, start + i, h, d, i) for i in range(n))
-            yield _batch(out, STRING)
+        out = []
+        for _, _, h, d, shift, known, doc_id, row, start, n, seg, low, high in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            at = least_place(seg)
+            width = -(-(high - low + 1) // RANGES)
+            for lo in range(low, high + 1, width):
+                hi = min(lo + width - 1, high)
+                a, b = max(lo, at - n + 1), min(hi, at)  # own strings start so many bytes before
+                if a <= b:
+                    skip, m = at - b, b - a + 1
+                    own = seg[skip : skip + m - 1 + LENGTH]
+                    shared = seg[at - lo : at + LENGTH - hi]
+                    out.append((*_pair(b"%d %d " % (lo, hi) + shared), h, d, shift + skip, known, doc_id, row, start + skip, m, own, lo, hi, *_pair(b"%d %d %d " % (lo, hi, b) + own)))
+            if len(out) >= 10_000:
+                yield _batch(out, PART)
+                out = []
+        if out:
+            yield _batch(out, PART)
+
+
+def _of(columns: str) -> list[str]:
+    return [c.split()[0] for c in columns.split(", ")]
+
+
+def judged_groups(members: DataFrame) -> DataFrame:
+    """(h, d, bits): the strings of ``members`` that also start earlier in their group (a segment has several rows, or none).
+
+    Members of a group are different. One of more than ``HOT`` is split by ranges,
+    equal parts are one from then on, and the groups of parts are judged likewise;
+    a range of one place has equal parts alone.
+    """
+    found, members = [], members.withColumns({"lo": F.lit(0).cast("long"), "hi": F.lit(PARTS - 1).cast("long")})
+    while True:
+        crowded = common.written(members.groupBy("g1", "g2").agg(F.count("*").alias("_m")).filter(F.col("_m") > HOT), "crowded-groups")
+        members = common.attach(members, crowded, ["g1", "g2"], ["h", "d"])
+        few = members.filter("_m IS NULL").select(*_of(MEMBER)).repartition("g1", "g2").sortWithinPartitions("g1", "g2", "h", "d")
+        found.append(few.mapInArrow(_sorted_groups, BITS).filter("bits <> 0"))
+        if crowded.isEmpty():
+            return common.union_all(found)
+        parts = common.written(members.filter("_m IS NOT NULL").select(*_of(MEMBER), "lo", "hi").mapInArrow(_parts, PART), "parts")
+        # By place first; of equal parts the first stands for all.
+        rest = [c for c in _of(PART) if c not in ("g1", "g2", "c1", "c2", "known", "doc_id", "row", "start")]
+        first = F.min(F.struct("known", "doc_id", "row", "start", *rest)).alias("f")
+        members = common.written(parts.groupBy("g1", "g2", "c1", "c2").agg(first, F.count("*").alias("_n")), "first-parts")
+        again = members.filter("_n > 1").select("g1", "g2", "c1", "c2", F.col("f.row").alias("_row"), F.col("f.start").alias("_start"))
+        again = common.attach(parts.drop("seg"), common.written(again, "equal-parts"), ["g1", "g2", "c1", "c2"], ["h", "d"], "inner")
+        every = F.expr("shiftleft(shiftleft(1L, cast(n AS int)) - 1, cast(shift AS int))")
+        found.append(again.filter("row <> _row OR start <> _start").select("h", "d", every.alias("bits")))
+        members = members.select("g1", "g2", *[F.col(f"f.{c}").alias(c) for c in [*_of(MEMBER)[2:], "lo", "hi"]])
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,19 +422,18 @@ def repeated_spans(docs: DataFrame) -> str:
     with common.scope():
         seen = common.written(suspects(docs), "suspects")
         place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "row", "start", "n")
-        first = common.written(seen.groupBy("h", "d").agg(F.min(place).alias("f")).select("h", "d", "f.row", "f.start", "f.n"), "segments")
+        first = common.written(seen.groupBy("h", "d").agg(F.min(place).alias("f"), F.count("*").alias("_copies")).select("h", "d", "f.row", "f.start", "f.n", "_copies"), "segments")
         counts = common.written(first.groupBy("h").agg(F.count("*").alias("_c")).filter("_c > 1"), "shared-hashes")
-        shared = common.written(texts_of(docs, first.join(counts.select("h"), "h")).join(counts, "h"), "shared-segments")
-        columns = [c.split()[0] for c in SEGMENT.split(", ")]
-        cold = shared.filter(F.col("_c") <= HOT).select(*columns).repartition("h").sortWithinPartitions("h", "d")
-        strings = common.written(shared.filter(F.col("_c") > HOT).select(*columns).mapInArrow(_strings, STRING), "strings")
-        here = F.struct("known", "doc_id", "row", "at")
-        least = common.written(strings.groupBy("w1", "w2").agg(F.min(here).alias("least"), F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "first-strings")
-        hot = strings.join(least, ["w1", "w2"]).filter(~here.eqNullSafe(F.col("least")))
-        hot = hot.groupBy("h", "d").agg(F.bit_or(F.expr("shiftleft(1L, cast(i AS int))")).alias("bits"))
-        bits = common.written(cold.mapInArrow(_sorted_groups, BITS).unionByName(hot), "later-strings")
-        judged = first.select("h", "d", F.col("row").alias("_row1"), F.col("start").alias("_start1")).join(bits, ["h", "d"], "left")
-        rows = seen.select("row", "start", "n", "h", "d").join(judged, ["h", "d"])
+        shared = texts_of(docs, first.join(counts.select("h"), "h"))
+        members = shared.select(F.col("h").alias("g1"), F.lit(0).cast("long").alias("g2"), "h", "d", F.lit(0).cast("long").alias("shift"), *_of(SEGMENT)[2:])
+        bits = judged_groups(common.written(members, "shared-segments")).groupBy("h", "d").agg(F.bit_or("bits").alias("bits"))
+        bits = common.written(bits, "later-strings")
+        judged = first.select("h", "d", F.col("row").alias("_row1"), F.col("start").alias("_start1"), "_copies").join(bits, ["h", "d"], "left")
+        judged = common.written(judged, "judged")
+        # A segment of very many copies is broadcast, so that its rows stay where they are.
+        often = F.broadcast(judged.filter(F.col("_copies") > COPIES))
+        rows = seen.select("row", "start", "n", "h", "d")
+        rows = rows.join(often, ["h", "d"]).unionByName(rows.join(often.select("h", "d"), ["h", "d"], "left_anti").join(judged.filter(F.col("_copies") <= COPIES), ["h", "d"]))
         own = (F.col("row") == F.col("_row1")) & (F.col("start") == F.col("_start1"))
         rows = rows.select("row", "start", F.when(own, F.coalesce("bits", F.lit(0))).otherwise(F.expr("shiftleft(1L, cast(n AS int)) - 1")).alias("bits")).filter("bits <> 0")
         spans = rows.repartition("row").sortWithinPartitions("row", "start").mapInArrow(_spans, "row long, start long, stop long")

@@ -116,3 +116,29 @@ def test_odd_rows(spark, odd_docs, as_tables):
 
 def test_empty_table(spark, no_docs, as_tables):
     assert S.op12_suffix_dedup(spark, as_tables(documents=no_docs)).count() == 0
+
+
+def test_crowded_groups_are_split_and_copies_stay_where_they_are(spark, as_tables, monkeypatch):
+    """A crowded group makes a few rows for each different segment, not one for each string; a segment of many copies is no key of a shuffle."""
+    monkeypatch.setattr(S, "HOT", 8)
+    monkeypatch.setattr(S, "COPIES", 20)
+    draw = random.Random(9)
+    base = "".join(draw.choice("abcdefgh ") for _ in range(170))
+    texts = [base] * 60
+    for _ in range(60):
+        a = draw.randrange(len(base))
+        texts.append(base[:a] + draw.choice("XYZ") + base[a + 1 :])
+    rows = list(enumerate(texts))
+    wrote, real = {}, common.written
+
+    def written(df, name, keep=False):
+        out = real(df, name, keep)
+        wrote.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "written", written)
+    sf = as_tables(documents=spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, S.op12_suffix_dedup(spark, sf).collect()), key=str) == slow(rows)
+    assert wrote["crowded-groups"][0] > 0
+    assert 0 < wrote["parts"][0] <= S.RANGES * wrote["shared-segments"][0]
+    assert all(b <= S.RANGES * a for a, b in zip(wrote["first-parts"], wrote["parts"][1:], strict=False))
