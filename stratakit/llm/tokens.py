@@ -108,7 +108,7 @@ class Encoder:
     A byte-level BPE without normaliser never joins characters across a single
     space or line feed between two that are not white space. For such a
     vocabulary a text is parted there, the library encodes each word that a
-    worker doesn't remember once, with and without the space before it, and the
+    worker doesn't remember once, with the space or line feed before it, and the
     ids are put together again; the result equals that of the whole text. A text
     that holds the string of an added token is encoded in one piece.
     """
@@ -124,53 +124,49 @@ class Encoder:
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         feed = self._ids("\n")
         self.parted = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and len(feed) == 1
-        self.feed, self.feed_bytes = int(feed[0]), feed.tobytes()
-        # Words with their ids, for each of: after a space, at the start of a line. The older of two generations goes when the younger is full.
-        self.young: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
-        self.old: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
+        self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids of a line feed, or of a space with what follows
+        self.begins[[int(feed[0]), *[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]]] = True
+        # Ids of words after a space, and of a line feed with the word after it. The older of two generations goes when the younger is full.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
-    def _learn(self, words: set[str], before: str) -> dict[str, bytes]:
-        """The remembered ids, these words among them; new ones are encoded together, a line feed between them."""
-        young, old = self.young[before], self.old[before]
-        missing = [w for w in words if w not in young]
-        if len(young) + len(missing) > CACHE_WORDS and young:
-            self.old[before], self.young[before] = young, {}
-            young, old, missing = self.young[before], young, list(words)
-        new = []
-        for w in missing:
-            if (held := old.get(w)) is None:
-                new.append(w)
-            else:
-                young[w] = held
-        if new:
-            ids = self._ids("\n".join(before + w for w in new))
-            cuts = [-1, *np.flatnonzero(ids == self.feed).tolist(), len(ids)]
-            data, width = ids.tobytes(), ids.itemsize
-            for w, a, b in zip(new, cuts[:-1], cuts[1:], strict=True):
-                young[w] = data[(a + 1) * width : b * width]
-        return young
+    def _learn(self, words: set[str]) -> dict[str, bytes] | None:
+        """The remembered ids, these words among them; new ones are encoded together. None if a word is empty or holds other white space."""
+        missing = words.difference(self.young)
+        if len(self.young) + len(missing) > CACHE_WORDS and self.young:
+            self.old, self.young = self.young, {}
+            missing = words
+        if self.old:
+            again, missing = missing, missing.difference(self.old)  # a set's intersection with a dictionary would go through all of that
+            again = again - missing
+            self.young.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        if missing:
+            new = list(missing)
+            glued = "".join([w if w[:1] == "\n" else f" {w}" for w in new])
+            bare = glued.split()
+            if len(bare) != len(new) or len(glued) - sum(map(len, bare)) != len(new):
+                return None
+            ids = self._ids(glued)
+            cuts = np.append(np.flatnonzero(self.begins[ids]), len(ids)) * ids.itemsize
+            self.young.update(zip(new, map(ids.tobytes().__getitem__, map(slice, cuts[:-1].tolist(), cuts[1:].tolist())), strict=True))
+        return self.young
 
     def encode(self, text: str) -> bytes:
         if not self.parted or any(x in text for x in self.added):
             return self._ids(text).tobytes()
-        words = text.split()
-        gaps = len(words) - 1
-        if text.count(" ") + text.count("\n") != gaps or len(text) - len("".join(words)) != gaps:
+        words = f"\n{text}".replace("\n", " \n").split(" ")[1:]
+        known = self._learn(set(words))
+        if known is None:
             return self._uneven(text)
-        lines = [line.split(" ") for line in text.split("\n")]
-        spaced, bare = self._learn(set(words), " "), self._learn({line[0] for line in lines}, "")
-        out = []
-        for line in lines:
-            out += [self.feed_bytes, bare[line[0]], *map(spaced.__getitem__, line[1:])]
-        return b"".join(out[1:])
+        return b"".join(map(known.__getitem__, words))[int(self.kind[2]) :]
 
     def _uneven(self, text: str) -> bytes:
         """A text with other white space, or more of it in a row: that stays with the words beside it."""
         first, *rest = self.CUT.split(text)
-        spaced = self._learn({w for w in rest if len(w.split()) == 1 and not (w[0].isspace() or w[-1].isspace())}, " ")
+        spaced = self._learn({w for w in rest if len(w.split()) == 1 and not (w[0].isspace() or w[-1].isspace())}) or {}
         return b"".join([self._ids(first).tobytes(), *[spaced[w] if w in spaced else self._ids(" " + w).tobytes() for w in rest]])
 
 

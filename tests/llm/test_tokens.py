@@ -77,6 +77,17 @@ def test_added_tokens_are_as_the_library_gives_them():
         assert np.frombuffer(tokens.encoder(PATH).encode(text), tokens.encoder(PATH).kind).tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_new_words_are_encoded_once_and_together(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 12)
+    code, whole, asked = tokens.Encoder(PATH), Tokenizer.from_file(PATH), []
+    monkeypatch.setattr(code, "_ids", lambda text, real=code._ids: asked.append(text) or real(text))
+    for text in ("one two, one\ntwo \u0120x", "one two, one\nthree", "two\u2003one", "", "\u0120x 12's\n" + " ".join(f"w{i}" for i in range(15)), "one two"):
+        assert np.frombuffer(code.encode(text), code.kind).tolist() == whole.encode(text, add_special_tokens=False).ids
+        assert len(code.young) <= 20 and len(code.old) <= 20
+    assert len(asked[0]) == len("\none two, one\ntwo \u0120x")
+    assert asked[1] == "\nthree"
+
+
 def test_not_a_shard():
     with pytest.raises(ValueError):
         tokens.read_shard(b"x" * 100)
