@@ -8,6 +8,7 @@ from contextlib import redirect_stdout
 
 from pyspark.sql import functions as F
 
+from stratakit.operators import dedupe as U
 from stratakit.operators import inference as I
 from stratakit.operators import knowledge as K
 from stratakit.operators import search as S
@@ -121,3 +122,20 @@ def test_scores_of_many_queries_are_not_shuffled(spark, tmp_path):
     for q in range(3):
         want = {r.doc_id: r.score for r in S.bm25(docs, [w for q2, w in asked if q2 == q]).collect()}
         assert {r.doc_id: round(r.score, 9) for r in got.filter(F.col("query") == q).collect()} == {d: round(s, 9) for d, s in want.items()}
+
+
+def test_pairs_that_share_too_little_are_not_compared_whole(spark, monkeypatch):
+    draw = random.Random(6)
+    sets = {i: set(range(12)) | {1000 * i + k for k in range(draw.randrange(20, 50))} for i in range(60)}
+    for i in range(60, 80):
+        sets[i] = {m for m in sets[i - 60] if draw.random() < 0.8} | {1000 * i + k for k in range(draw.randrange(9))}
+    sets |= {90: set(), 91: {1}, 92: {1}, 93: {1, 2}, 94: {-5, 70_000}}
+    written = {}
+    monkeypatch.setattr(U, "settled", lambda df, name="step", real=U.settled: written.setdefault(name, real(df, name)))
+    frame = spark.createDataFrame([(i, sorted(m)) for i, m in sets.items()], "doc_id long, s array<long>")
+    for least in (0.1, 0.3, 0.9):
+        written.clear()
+        got = {(r.a, r.b): round(r.jaccard, 9) for r in U.class_pairs(frame, "doc_id", "s", least).collect()}
+        alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] | sets[b] and 92 not in (a, b)}
+        assert got == {k: round(j, 9) for k, j in alike.items() if j >= least}
+        assert least < 0.3 or written["proposed-pairs"].count() <= 3 * len(got) + 10
