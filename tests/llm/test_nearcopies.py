@@ -51,3 +51,21 @@ def test_crowds_and_chains(spark, monkeypatch, stars):
                 words[draw.randrange(len(words))] = f"w{draw.randrange(5000)}"
     frame = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert sorted(r.doc_id for r in simhash.stage(spark, frame, "").collect()) == first_ids(rows)
+
+
+def test_only_sets_in_a_pair_are_made_whole(spark, monkeypatch):
+    """Texts that share a line, and so buckets, but could not be similar are not made into whole sets again."""
+    made, plain = [], nearcopies.whole_sets
+
+    def counted(*args):
+        found = plain(*args)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(nearcopies, "whole_sets", counted)
+    draw = random.Random(5)
+    texts = [" ".join(f"w{draw.randrange(100_000)}" for _ in range(60)) for _ in range(40)]
+    rows = [(i, f"{t} this line is the same in all") for i, t in enumerate([*texts, f"{texts[7]} or nearly"])]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in simhash.stage(spark, frame, "").collect()) == first_ids(rows) == list(range(40))
+    assert sum(made) == 2
