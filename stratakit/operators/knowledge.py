@@ -197,18 +197,27 @@ def decided(scored: DataFrame, sure: float = SURE, lead: float = LEAD) -> DataFr
     return near.withColumn("verdict", F.when(n > 1, "ambiguous").otherwise("sure")).select("ref", "doc_id", "verdict")
 
 
-def linked(refs: DataFrame, by_doi: DataFrame, by_title: DataFrame) -> DataFrame:
-    """(ref, doc_id, how): references (ref, doi, title) to documents by DOI, else by their title's key if one document alone has it."""
+def _resolved(refs: DataFrame, by_doi: DataFrame, by_title: DataFrame) -> DataFrame:
+    """``refs`` (doi, title) with their title's ``key``, the document ``_d`` that has their DOI, and ``_t``, the only one that has the key."""
     first = refs.join(by_doi.select("doi", F.col("doc_id").alias("_d")), "doi", "left")
     sole = by_title.groupBy("key").agg(F.min("doc_id").alias("_t"), F.count("*").alias("_n")).filter("_n = 1").drop("_n")
-    both = first.withColumn("key", T.title_key(F.col("title"))).join(sole, "key", "left")
+    return first.withColumn("key", T.title_key(F.col("title"))).join(sole, "key", "left")
+
+
+def linked(refs: DataFrame, by_doi: DataFrame, by_title: DataFrame) -> DataFrame:
+    """(ref, doc_id, how): references (ref, doi, title) to documents by DOI, else by their title's key if one document alone has it."""
+    both = _resolved(refs, by_doi, by_title)
     out = both.select("ref", F.coalesce("_d", "_t").alias("doc_id"), F.when(F.col("_d").isNotNull(), "doi").when(F.col("_t").isNotNull(), "title").alias("how"))
     return out.filter("doc_id IS NOT NULL")
 
 
-def missing_works(refs: DataFrame, held: DataFrame, limit: int) -> DataFrame:
-    """(work, docs): works (doc, ref, doi, title) that no document is linked to, by DOI or else title key, the most cited first; ``held`` (ref)."""
-    rows = refs.join(held.select("ref"), "ref", "left_anti").select("doc", F.coalesce("doi", T.title_key(F.col("title"))).alias("work")).filter("work IS NOT NULL")
+def missing_works(refs: DataFrame, by_doi: DataFrame, by_title: DataFrame, limit: int) -> DataFrame:
+    """(work, docs): works (doc, ref, doi, title) that no document is linked to (``linked``), by DOI or else title key, the most cited first.
+
+    References are read once: a window tells those that are linked in any of their rows.
+    """
+    rows = _resolved(refs, by_doi, by_title).select("ref", "doc", F.coalesce("doi", "key").alias("work"), F.coalesce("_d", "_t").isNotNull().alias("_held"))
+    rows = rows.withColumn("_held", F.max("_held").over(Window.partitionBy("ref"))).filter("NOT _held AND work IS NOT NULL")
     return rows.groupBy("work").agg(F.count_distinct("doc").alias("docs")).orderBy(F.desc("docs"), "work").limit(limit)
 
 

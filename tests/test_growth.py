@@ -139,3 +139,12 @@ def test_pairs_that_share_too_little_are_not_compared_whole(spark, monkeypatch):
         alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] | sets[b] and 92 not in (a, b)}
         assert got == {k: round(j, 9) for k, j in alike.items() if j >= least}
         assert least < 0.3 or written["proposed-pairs"].count() <= 3 * len(got) + 10
+
+
+def test_cited_works_are_told_from_references_read_once(spark):
+    """A reference that one of its rows links to a document is held in all of them."""
+    assert plan(registry.QUERIES["cite_missing"](spark, SF)).count("Generate explode") == 1
+    refs = spark.createDataFrame([(1, "1:1", "10.1/a", "held by number"), (1, "1:1", None, "a work of the same number"), (2, "2:1", None, "a work of the same number"), (2, "2:2", "10.1/z", "held by its title"), (3, "3:1", "10.1/z", "another title"), (4, "4:1", None, "short")], "doc long, ref string, doi string, title string")
+    by_doi = spark.createDataFrame([("10.1/a", 7), ("10.1/a", 8)], "doi string, doc_id long")
+    by_title = spark.createDataFrame([(9, "heldbyitstitle"), (10, "twice"), (11, "twice")], "doc_id long, key string")
+    assert [tuple(r) for r in K.missing_works(refs, by_doi, by_title, 5).collect()] == [("10.1/z", 1), ("aworkofthesamenumber", 1)]
