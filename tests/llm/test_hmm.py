@@ -57,6 +57,33 @@ def test_forward_and_counts_equal_all_paths(monkeypatch, steps):
     assert np.allclose(found.moves * model.moves, want[1])
 
 
+@pytest.mark.parametrize("cells", [4, 24, 400_000])
+def test_counts_of_whole_texts_equal_plain_ones(monkeypatch, cells):
+    """Also where texts are taken one by one or a few at a time."""
+    monkeypatch.setattr(H, "CELLS", cells)
+    model, draw = random_model(3, 5), np.random.default_rng(1)
+    texts = [draw.integers(0, 5, n).astype(np.uint16) for n in (1, 7, 3, 6, 1, 4)]
+    first, emits = np.zeros(3), np.zeros((5, 3))
+    for text in texts:
+        p = model.first * np.prod(model.emits[text], axis=0)
+        first += p / p.sum()
+        for c in text:
+            emits[c] += p / p.sum()
+    found = H.Expected(3, 5)
+    found.add_whole(model, texts)
+    assert np.allclose(found.first, first) and np.allclose(found.emits, emits) and not found.moves.any()
+
+
+def test_the_start_counts_every_training_text(spark):
+    """Before, texts of over 4,096 tokens and all beyond 400,000 tokens had no part in the start."""
+    counts = spark.createDataFrame([(w, 5000) for w in "abc"] + [("", 10)], "word string, n long")
+    words = H.vocabulary(common.written(counts, "lm-words"))
+    texts = [np.array([1, 2] * 20 + [0], np.uint16), np.array([3] * 5000 + [0], np.uint16)]
+    rows = [common.written(spark.createDataFrame([(i, bytearray(t.tobytes()), len(t)) for i, t in enumerate(own)], "doc_id long, ids binary, n_tokens long"), "lm-classes") for own in (texts, texts[:1])]
+    both, one = (H.train(r, words, states=2, rounds=0) for r in rows)
+    assert not np.allclose(both.first, one.first)
+
+
 def test_query_equals_brute_force_and_beats_the_base(spark):
     docs = common.documents(spark, "/root/testdata/sf0.01").collect()
     tokens = {r.doc_id: H.tokens_of((r.text or "").encode()) for r in docs}
