@@ -75,3 +75,20 @@ def test_words_are_kept_through_all_levels(spark):
     assert abs(got.agg(F.sum("up")).first()[0] - n * p) <= 1
     halves = got.withColumn("low", F.col("row") < n // 2).groupBy("low").agg(F.avg("up").alias("m")).collect()
     assert all(abs(r.m - p) < 0.05 for r in halves)
+
+
+def test_stage_takes_the_rows_of_the_query_and_shuffles_no_text(spark, tmp_path):
+    """Before, the rows that are taken were joined with the texts by their numbers."""
+    path = f"{tmp_path}/documents.parquet"
+    docs = common.documents(spark, "/root/testdata/sf0.001")
+    docs.repartition(3).write.parquet(path)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = mixing.stage(spark, spark.read.parquet(path), "")
+        assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+        want = Counter({r.doc_id: r.taken // r.size for r in mixing.op8_mixing(spark, str(tmp_path)).collect() if r.size})
+        got = Counter(r.doc_id for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert {i: got[i] for i in want} == dict(want) and max(want.values()) == 2
