@@ -148,3 +148,18 @@ def test_cited_works_are_told_from_references_read_once(spark):
     by_doi = spark.createDataFrame([("10.1/a", 7), ("10.1/a", 8)], "doi string, doc_id long")
     by_title = spark.createDataFrame([(9, "heldbyitstitle"), (10, "twice"), (11, "twice")], "doc_id long, key string")
     assert [tuple(r) for r in K.missing_works(refs, by_doi, by_title, 5).collect()] == [("10.1/z", 1), ("aworkofthesamenumber", 1)]
+
+
+def test_sets_of_shingles_are_made_once(spark):
+    """Before, each set was made three times: for its class, for the classes' keys and for the pairs."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<bigint>")
+    def members(i):
+        made.add(1)
+        return sorted([i // 2, 100, 101, 102])
+
+    sets = spark.range(20).withColumn("s", members("id"))
+    got = {(r.a, r.b): r.jaccard for r in U.class_pairs(sets, "id", "s", 0.5).collect()}
+    assert got == {(2 * i, 2 * j): 0.6 for i in range(10) for j in range(i + 1, 10)}
+    assert made.value == 20
